@@ -36,7 +36,7 @@ def is_phosphate_atom(name: Column | str) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda token: token != "")
+    return F.filter(F.transform(F.split(text, ","), lambda token: F.trim(token)), lambda token: token != "")
 
 
 def residue_list(text: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, chi2_yates, fisher_p, odds_ratio
 from ..functions.values import to_boolean
+from ..runtime import freeze
 from ..schemas import HIT_COLUMNS, ORTHOLOG_COLUMNS, require_columns
 from .testing import benjamini_hochberg, two_proportion_sample_size, wilson_interval
 
@@ -86,8 +87,11 @@ def organism_pairs(rates: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pairwise_tests(rates: DataFrame) -> DataFrame:
-    """Chi-square and Fisher tests for every organism pair, each with its own FDR control."""
-    pairs = organism_pairs(rates, ["n_hits", "n_proteins"])
+    """Chi-square and Fisher tests for every organism pair, each with its own FDR control.
+
+    The rates are frozen first: they are a few rows behind a full scan of the hits.
+    """
+    pairs = organism_pairs(freeze(rates), ["n_hits", "n_proteins"])
     a, c = F.col("n_hits_a"), F.col("n_hits_b")
     b, d = F.col("n_proteins_a") - a, F.col("n_proteins_b") - c
     tested = pairs.select(
@@ -98,13 +102,13 @@ def pairwise_tests(rates: DataFrame) -> DataFrame:
         odds_ratio(a, b, c, d).alias("fisher_odds_ratio"),
         fisher_p(a, b, c, d).alias("fisher_p_value"),
     ).withColumn("chi2_p_value", chi2_p(F.col("chi2_stat")))
-    with_fisher = benjamini_hochberg(tested, "fisher_p_value", prefix="fisher_").drop("fisher_reject")
+    with_fisher = benjamini_hochberg(freeze(tested), "fisher_p_value", prefix="fisher_").drop("fisher_reject")
     both = benjamini_hochberg(with_fisher, "chi2_p_value", prefix="chi2_").drop("chi2_reject")
     return both.withColumnsRenamed({"fisher_fdr_q_value": "fisher_fdr_q", "chi2_fdr_q_value": "chi2_fdr_q"})
 
 
 def pairwise_power(rates: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
-    pairs = organism_pairs(rates, ["hit_rate"])
+    pairs = organism_pairs(freeze(rates), ["hit_rate"])
     size = two_proportion_sample_size(F.col("hit_rate_a"), F.col("hit_rate_b"), alpha, power)
     return pairs.withColumn("required_n_per_group", size)
 

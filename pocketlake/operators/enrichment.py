@@ -61,7 +61,7 @@ def term_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFrame)
     tested = counts.withColumn("p_uncorrected", fisher_p(s, sn - s, p - s, pn - sn - p + s)).withColumn(
         "enrichment", F.when(s * pn > p * sn, "e").otherwise("p")
     )
-    adjusted = benjamini_hochberg(tested, "p_uncorrected", partition=["organism"])
+    adjusted = benjamini_hochberg(freeze(tested), "p_uncorrected", partition=["organism"])
     return adjusted.select(
         "organism",
         F.col("term").alias("go_id"),
@@ -132,4 +132,4 @@ def permutation_enrichment(
         (rate - overall).alias("delta_hit_rate"),
         "p_value",
     )
-    return benjamini_hochberg(rows).withColumnRenamed("reject", "reject_fdr_0_05")
+    return benjamini_hochberg(freeze(rows)).withColumnRenamed("reject", "reject_fdr_0_05")

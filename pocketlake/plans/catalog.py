@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_scoring, queries_selection  # noqa: F401
+from . import queries_comparative, queries_scoring, queries_selection, queries_statistics  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -143,6 +143,15 @@ _LIKELY = """(CASE WHEN ligand_sasa IS NULL THEN composite_score
     + 0.35 * composite_score END)"""
 
 
+def half_up(sql):
+    """Rounding by plain arithmetic: the engines' own round() disagrees on decimal ties."""
+    return f"floor({sql} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+
+
+def _half_up(column):
+    return F.floor(column * 1e6 + 0.5) / 1e6
+
+
 def control_rows(spark, sf):
     rows = domain.pocket_rows(spark, sf).withColumn("composite_score", scoring.composite_score())
     return rows.select(
@@ -162,8 +171,8 @@ def control_rows(spark, sf):
     "cryptic_likeness",
     oracle(
         f"""WITH c AS ({_CONTROLS})
-        SELECT structure_id, pocket_id, round({_LIKELY}, 8) AS score,
-          round(CASE WHEN ligand_sasa IS NULL THEN composite_score ELSE 0.75 * {_LIKELY} + 0.25 * {_ELEC} END, 8)
+        SELECT structure_id, pocket_id, {half_up(_LIKELY)} AS score,
+          {half_up(f"(CASE WHEN ligand_sasa IS NULL THEN composite_score ELSE 0.75 * {_LIKELY} + 0.25 * {_ELEC} END)")}
             AS score_with_potential FROM c""",
         "v_scored_rows",
     ),
@@ -172,10 +181,10 @@ def cryptic_likeness(spark, sf):
     return control_rows(spark, sf).select(
         "structure_id",
         "pocket_id",
-        F.round(controls.cryptic_likeness("composite_score", "ligand_sasa"), 8).alias("score"),
-        F.round(
-            controls.cryptic_likeness("composite_score", "ligand_sasa", "electrostatic_potential"), 8
-        ).alias("score_with_potential"),
+        _half_up(controls.cryptic_likeness("composite_score", "ligand_sasa")).alias("score"),
+        _half_up(controls.cryptic_likeness("composite_score", "ligand_sasa", "electrostatic_potential")).alias(
+            "score_with_potential"
+        ),
     )
 
 

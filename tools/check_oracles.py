@@ -35,6 +35,7 @@ def canonical(value):
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
+    module = wanted.pop(0)[1:] if wanted and wanted[0].startswith("@") else None
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
@@ -42,6 +43,8 @@ def main() -> int:
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     bad = 0
     for name, run in QUERIES.items():
+        if module and not run.__module__.endswith(module):
+            continue
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
@@ -69,8 +72,8 @@ def main() -> int:
             if wide:
                 print(f"  note {name}: wide types in SQL: {wide}")
             if got != want:
-                only_got = [r for r in got if r not in set(want)][:3]
-                only_want = [r for r in want if r not in set(got)][:3]
+                only_got = sorted(set(got) - set(want))[:3]
+                only_want = sorted(set(want) - set(got))[:3]
                 raise AssertionError(f"{len(got)} vs {len(want)} rows\n    spark: {only_got}\n    sql:   {only_want}")
             print(f"ok {name}: {len(got)} rows {took:.2f}s (sql {sql_took:.2f}s)", flush=True)
         except Exception as exc:  # noqa: BLE001
