@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import queries_comparative, queries_scoring, queries_selection, queries_statistics  # noqa: F401
+from . import (  # noqa: F401
+    queries_comparative,
+    queries_geometry,
+    queries_scoring,
+    queries_selection,
+    queries_statistics,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
