@@ -46,7 +46,7 @@ def residue_map(residues: DataFrame) -> DataFrame:
 def lining_residues(pockets: DataFrame, residues: DataFrame, cutoff: float = 8.0) -> DataFrame:
     """Distinct (structure, pocket, resseq): a pocket's own list, else residues with CA within ``cutoff``."""
     own = pockets.where(F.size("residue_ids") > 0).select(
-        *POCKET_KEY, F.explode(F.array_distinct("residue_ids")).cast("int").alias("resseq")
+        *POCKET_KEY, F.explode(F.array_distinct(F.col("residue_ids").cast("array<int>"))).alias("resseq")
     )
     open_pockets = pockets.where(F.coalesce(F.size("residue_ids"), F.lit(0)) <= 0).select(
         *POCKET_KEY, F.col("center_x").alias("x"), F.col("center_y").alias("y"), F.col("center_z").alias("z")

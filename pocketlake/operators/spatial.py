@@ -16,16 +16,19 @@ from ..functions.values import is_basic, is_ligand
 _AXES = ("x", "y", "z")
 
 
-def _cell(size: float, shift: tuple[int, int, int] = (0, 0, 0)) -> list[Column]:
-    return [
-        (F.floor(F.col(axis) / size) + step).cast("long").alias(f"_c{axis}") for axis, step in zip(_AXES, shift)
-    ]
+# The 27 steps from a cell to itself and the cells that touch it.
+_STEPS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
-def _around(size: float) -> Column:
-    """The 27 cells that touch the row's own cell, as an array of structs."""
-    steps = (-1, 0, 1)
-    return F.array(*[F.struct(*_cell(size, (i, j, k))) for i in steps for j in steps for k in steps])
+def _cell(size: float) -> list[Column]:
+    return [F.floor(F.col(axis) / size).cast("long").alias(f"_c{axis}") for axis in _AXES]
+
+
+def _around(rows: DataFrame, size: float) -> DataFrame:
+    """Each row once for every cell around it. The steps are a constant, so the plan stays small."""
+    steps = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(_AXES, step)]) for step in _STEPS])
+    cells = [(F.floor(F.col(a) / size) + F.col(f"_step.{a}")).cast("long").alias(f"_c{a}") for a in _AXES]
+    return rows.withColumn("_step", F.explode(steps)).select(*rows.columns, *cells)
 
 
 def radius_pairs(
@@ -37,9 +40,7 @@ def radius_pairs(
     not. All other columns of both sides are kept and must differ in name.
     """
     key = [*group, "_cx", "_cy", "_cz"]
-    spread = points.withColumn("_cell", F.explode(_around(radius))).select(
-        *points.columns, "_cell._cx", "_cell._cy", "_cell._cz"
-    )
+    spread = _around(points, radius)
     placed = targets.select("*", *_cell(radius)).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
     joined = spread.join(placed, key)
     gaps = [(F.col(a) - F.col(f"_t{a}")).alias(f"d{a}") for a in _AXES]

@@ -7,6 +7,8 @@ from . import (  # noqa: F401
     queries_geometry,
     queries_scoring,
     queries_selection,
+    queries_sources,
+    queries_state,
     queries_statistics,
 )
 from .registry import ORACLES, QUERIES

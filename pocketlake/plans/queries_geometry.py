@@ -292,10 +292,10 @@ def _maps(spark, sf):
         *[F.lit(-4.0).alias(f"o{a}") for a in "xyz"],
         *[F.lit(1.0).alias(f"d{a}") for a in "xyz"],
     )
-    nodes = F.sequence(F.lit(0), F.lit(8))
+    nodes = F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))
     grid = maps
     for a in "xyz":
-        grid = grid.withColumn(f"i{a}", F.explode(nodes).cast("long"))
+        grid = grid.withColumn(f"i{a}", F.explode(nodes))
     ix, iy, iz = F.col("ix"), F.col("iy"), F.col("iz")
     value = 1 + 0.5 * ix - 0.25 * iy + 0.125 * iz + 0.01 * ix * iy * iz + F.col("map_id")
     return headers, grid.withColumn("value", value.cast("double"))
@@ -436,26 +436,106 @@ def water_count(spark, sf):
     return rounded(trajectory.water_counts(domain.frames(spark, sf)), "avg_waters_in_pocket")
 
 
-@query("solvent_area")
+def _area_sql(source, key, radius, probe, points):
+    """Every sphere point of every atom against every other atom of its group."""
+    match = " AND ".join(f"b.{k} = a.{k}" for k in key)
+    return f"""sph AS (SELECT cos(t) * sqrt(1 - z * z) AS ux, sin(t) * sqrt(1 - z * z) AS uy, z AS uz FROM (
+      SELECT 1 - (2 * k + 1) / {points}::DOUBLE AS z, k * pi() * (3 - sqrt(5)) AS t FROM range({points}) r(k))),
+    src AS (SELECT *, {radius} + {probe} AS rad FROM {source}),
+    open_points AS (SELECT a.row_key, count(*) AS n FROM (SELECT src.*, ux, uy, uz FROM src, sph) a WHERE NOT EXISTS (
+      SELECT 1 FROM src b WHERE {match} AND b.row_key != a.row_key
+        AND (a.x + a.rad * ux - b.x) ** 2 + (a.y + a.rad * uy - b.y) ** 2 + (a.z + a.rad * uz - b.z) ** 2 <= b.rad * b.rad)
+      GROUP BY a.row_key),
+    area AS (SELECT src.*, coalesce(n, 0) * 4 * pi() / {points} * rad * rad AS area FROM src LEFT JOIN open_points USING (row_key))"""
+
+
+_ATOM_AREA = _area_sql(
+    "(SELECT *, atom_id AS row_key FROM v_atoms)",
+    ["structure_id"],
+    "(CASE substr(atom_name, 1, 1) WHEN 'C' THEN 1.7 ELSE 1.52 END)::DOUBLE",
+    1.4,
+    100,
+)
+_FRAME_AREA = (
+    _area_sql(
+        "(SELECT *, row_id AS row_key FROM v_frames)",
+        ["candidate_id", "frame"],
+        "(CASE element WHEN 'C' THEN 0.17 ELSE 0.12 END)::DOUBLE",
+        0.14,
+        960,
+    )
+    + """, pa AS (SELECT candidate_id, avg(a) AS avg_pocket_sasa_nm2 FROM (SELECT candidate_id, frame, sum(area) AS a FROM area
+      WHERE NOT is_water AND element != 'H' GROUP BY ALL) GROUP BY candidate_id)"""
+)
+
+
+@query(
+    "solvent_area",
+    oracle(f"WITH {_ATOM_AREA} SELECT structure_id, atom_id, round(area, 4) AS sasa FROM area", "v_atoms"),
+)
 def solvent_area(spark, sf):
     area = features.solvent_area(domain.atoms(spark, sf))
     return rounded(area.select("structure_id", "atom_id", "sasa"), "sasa", digits=4)
 
 
-@query("trajectory_area")
+@query(
+    "trajectory_area",
+    oracle(
+        f"WITH {_FRAME_AREA} SELECT candidate_id, round(avg_pocket_sasa_nm2, 6) AS avg_pocket_sasa_nm2 FROM pa", "v_frames"
+    ),
+)
 def trajectory_area(spark, sf):
     return rounded(trajectory.pocket_area(domain.frames(spark, sf)), "avg_pocket_sasa_nm2")
 
 
-@query("dynamics_report")
+_REPORT = f"""{_FRAME_AREA}, {_POCKET_FRAMES},
+  rm AS (SELECT candidate_id, avg(r) AS avg_pocket_rmsf_nm FROM (SELECT candidate_id, atom_id,
+      sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS r FROM p GROUP BY ALL) GROUP BY candidate_id),
+  bv AS (SELECT candidate_id, avg(v) AS avg_pocket_volume_nm3, stddev_pop(v) AS std_pocket_volume_nm3 FROM (
+      SELECT candidate_id, frame, greatest(max(x) - min(x), 1e-6) * greatest(max(y) - min(y), 1e-6)
+        * greatest(max(z) - min(z), 1e-6) AS v FROM p GROUP BY ALL) GROUP BY candidate_id),
+  c AS (SELECT candidate_id, frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY ALL),
+  wc AS (SELECT candidate_id, avg(n) AS avg_waters_in_pocket FROM (
+      SELECT c.candidate_id, c.frame, count(w.row_id) AS n FROM c LEFT JOIN (SELECT * FROM v_frames WHERE is_water) w
+        ON w.candidate_id = c.candidate_id AND w.frame = c.frame
+        AND sqrt((w.x - cx) ** 2 + (w.y - cy) ** 2 + (w.z - cz) ** 2) <= 0.4 GROUP BY ALL) GROUP BY candidate_id),
+  ids AS (SELECT DISTINCT candidate_id FROM v_frames UNION SELECT DISTINCT candidate_id + 1000 FROM v_frames),
+  rep AS (SELECT candidate_id, avg_pocket_sasa_nm2, avg_pocket_rmsf_nm, avg_pocket_volume_nm3, std_pocket_volume_nm3,
+      avg_waters_in_pocket, CASE WHEN avg_pocket_rmsf_nm IS NULL THEN 'failed'
+        WHEN (avg_pocket_sasa_nm2 <= 1)::INT + (avg_pocket_rmsf_nm <= 0.2)::INT + (avg_waters_in_pocket <= 1)::INT >= 2 THEN 'stably buried'
+        WHEN (avg_pocket_sasa_nm2 >= 5)::INT + (avg_pocket_rmsf_nm >= 0.45)::INT + (avg_waters_in_pocket >= 5)::INT >= 2 THEN 'exposed'
+        ELSE 'transiently accessible' END AS classification
+    FROM (SELECT candidate_id FROM ids ORDER BY 1 LIMIT 20) LEFT JOIN pa USING (candidate_id) LEFT JOIN rm USING (candidate_id)
+      LEFT JOIN bv USING (candidate_id) LEFT JOIN wc USING (candidate_id))"""
+
+
+@query(
+    "dynamics_report",
+    oracle(
+        f"""WITH {_REPORT}
+        SELECT candidate_id, round(avg_pocket_sasa_nm2, 6) AS avg_pocket_sasa_nm2, round(avg_pocket_rmsf_nm, 6) AS avg_pocket_rmsf_nm,
+          round(avg_pocket_volume_nm3, 6) AS avg_pocket_volume_nm3, round(std_pocket_volume_nm3, 6) AS std_pocket_volume_nm3,
+          round(avg_waters_in_pocket, 6) AS avg_waters_in_pocket, classification FROM rep""",
+        "v_frames",
+    ),
+)
 def dynamics_report(spark, sf):
     frames = domain.frames(spark, sf)
     ids = frames.select("candidate_id").distinct()
     candidates = ids.unionByName(ids.select((F.col("candidate_id") + 1000).alias("candidate_id")))
-    return trajectory.dynamics_report(filters.top_for_dynamics(candidates, 20), frames).drop("error")
+    report = trajectory.dynamics_report(filters.top_for_dynamics(candidates, 20), frames).drop("error")
+    return rounded(report, *[c for c in report.columns if c.startswith(("avg_", "std_"))])
 
 
-@query("stability_summary")
+@query(
+    "stability_summary",
+    oracle(
+        f"""WITH {_REPORT}
+        SELECT classification, count(*) AS n_candidates, count(*) FILTER (WHERE classification = 'stably buried') AS n_stable,
+          count(*) FILTER (WHERE classification IN ('exposed', 'failed')) AS n_filtered_out FROM rep GROUP BY classification""",
+        "v_frames",
+    ),
+)
 def stability_summary(spark, sf):
     return trajectory.stability_summary(dynamics_report(spark, sf))
 
