@@ -60,8 +60,8 @@ def resolution(spark, sf):
 @query(
     "structure_catalog",
     """SELECT page_id, 'AF-P' || page_id || '-F1-model_v4.pdb' AS filename, 'P' || page_id AS uniprot_id,
-         length(encode(html)) AS file_size FROM pages WHERE page_id % 3 != 0
-       UNION ALL SELECT page_id, 'plain' || page_id || '.pdb', 'plain' || page_id, length(encode(html)) FROM pages
+         strlen(html) AS file_size FROM pages WHERE page_id % 3 != 0
+       UNION ALL SELECT page_id, 'plain' || page_id || '.pdb', 'plain' || page_id, strlen(html) FROM pages
          WHERE page_id % 3 = 0""",
 )
 def structure_catalog(spark, sf):
@@ -78,7 +78,7 @@ def structure_catalog(spark, sf):
 
 @query(
     "catalog_stats",
-    """SELECT count(*) AS total_structures, round(sum(length(encode(html))) / 1024.0 ** 3, 9) AS total_size_gb,
+    """SELECT count(*) AS total_structures, round(sum(strlen(html)) / 1024.0 ** 3, 9) AS total_size_gb,
          count(DISTINCT url) AS unique_proteins FROM pages""",
 )
 def catalog_stats(spark, sf):

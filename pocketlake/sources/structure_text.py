@@ -78,19 +78,24 @@ def parse_atoms(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> Dat
     return numbered.withColumn("model", count).drop("_starts")
 
 
+def _strip(text: Column) -> Column:
+    """Without white space of any kind at both ends; ``trim`` would leave tabs."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_info(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> DataFrame:
     """``Pocket N :`` blocks with their ``key : value`` lines as (pocket_id, name, text, number) rows.
 
     Lines before the first block are ignored. The block of a line is found by a window within its file.
     """
-    line = F.trim("line")
+    line = _strip(F.col("line"))
     header = F.regexp_extract(line, r"^Pocket\s+(\d+)", 1)
     marked = lines.select(*key, "pos", line.alias("line"), F.nullif(header, F.lit("")).try_cast("int").alias("_block"))
     upto = Window.partitionBy(*key).orderBy("pos")
     filled = marked.withColumn("pocket_id", F.last("_block", ignorenulls=True).over(upto))
     pair = F.split("line", ":", 2)
-    name = F.regexp_replace(F.lower(F.trim(F.get(pair, F.lit(0)))), "[ -]", "_")
-    text = F.trim(F.get(pair, F.lit(1)))
+    name = F.regexp_replace(F.lower(_strip(F.get(pair, F.lit(0)))), "[ -]", "_")
+    text = _strip(F.get(pair, F.lit(1)))
     return filled.where(
         F.col("pocket_id").isNotNull() & F.col("_block").isNull() & F.col("line").contains(":")
     ).select(*key, "pocket_id", "pos", name.alias("name"), text.alias("text"), text.try_cast("double").alias("number"))
