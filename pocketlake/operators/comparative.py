@@ -185,16 +185,17 @@ def with_package_ip6(rates: DataFrame) -> DataFrame:
 
 def class_enrichment(dataset: DataFrame) -> DataFrame:
     """Counts of the three burial classes (0 when absent), scaled by the largest count."""
-    names = F.array(*[F.lit(c) for c in ("Cryptic", "Semi-cryptic", "Surface")])
-    counts = dataset.groupBy("classification").agg(F.count("*").alias("count"))
-    # One row per class: the map below has at most as many entries as there are class names.
-    found = counts.where(F.col("classification").isNotNull()).agg(
+    classes = ("Cryptic", "Semi-cryptic", "Surface")
+    names = F.array(*[F.lit(c) for c in classes])
+    known = dataset.where(F.col("classification").isin(*classes))
+    # At most three rows, so the map below has at most three entries.
+    found = known.groupBy("classification").agg(F.count("*").alias("count")).agg(
         F.map_from_entries(F.collect_list(F.struct("classification", "count"))).alias("m")
     )
     listed = found.select(F.explode(names).alias("classification"), "m").select(
         "classification", F.coalesce(F.try_element_at("m", F.col("classification")), F.lit(0)).alias("count"), "m"
     )
-    peak = F.greatest(F.lit(1), *[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0)) for c in ("Cryptic", "Semi-cryptic", "Surface")])
+    peak = F.greatest(F.lit(1), *[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0)) for c in classes])
     return listed.select("classification", "count", (F.col("count") / peak).alias("enrichment_score"))
 
 

@@ -68,6 +68,11 @@ class Ledger:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
 
+    @staticmethod
+    def _spread(rows: DataFrame) -> DataFrame:
+        """Few files per partition folder; adaptive execution splits a folder that holds most rows."""
+        return rows.hint("rebalance", *PARTITIONS)
+
     def rows(self) -> DataFrame:
         if not self._exists():
             return self.spark.createDataFrame([], LEDGER)
@@ -81,7 +86,7 @@ class Ledger:
         columns = [F.col(f.name).cast(f.dataType) for f in LEDGER.fields]
         batch = freeze(rows.select(*columns))
         count = batch.count()
-        latest_wins(batch).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+        self._spread(latest_wins(batch)).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
         return count
 
     def get(self, version: str, params_hash: str, organism: str | None = None) -> DataFrame:
@@ -106,7 +111,7 @@ class Ledger:
         """Rewrite touched partitions with their current rows only, from a frozen copy."""
         current = freeze(self.current())
         (
-            current.repartition(*PARTITIONS)
+            self._spread(current)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITIONS)

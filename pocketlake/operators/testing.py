@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_p, t_p
-from ..plans.ordering import average_ranks, running
+from ..plans.ordering import accumulate, average_ranks, running, spread
 
 
 def normal_quantile(p: float) -> float:
@@ -42,14 +42,14 @@ def benjamini_hochberg(
         p, F.when(bad, F.raise_error(F.lit("All p-values must be in [0, 1].")).cast("double")).otherwise(value)
     )
     groups = checked.where(F.col(p).isNotNull()).groupBy(*partition, p).agg(F.count("*").alias("_n"))
-    ranked = running(groups, [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
+    ranked = accumulate(spread(groups, [F.col(p)], partition), [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
     sizes = ranked.groupBy(*partition).agg(F.max("_rank").alias("_m"))
     if partition:
         sized = ranked.join(sizes, list(partition))
     else:
         sized = ranked.withColumn("_m", sizes.select("_m").scalar())
     scaled = sized.withColumn("_raw", F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0)))
-    adjusted = running(scaled, [F.desc(p)], {q_name: ("min", F.col("_raw"))}, partition)
+    adjusted = accumulate(scaled, [F.desc(p)], {q_name: ("min", F.col("_raw"))}, partition, backwards=True)
     passing = F.when(F.col(p) <= F.col("_rank") / F.col("_m") * alpha, F.col(p))
     cut = adjusted.groupBy(*partition).agg(F.max(passing).alias("_cut"))
     if partition:

@@ -24,33 +24,38 @@ def _combine(kind: str, before: Column, local: Column) -> Column:
     return F.when(before.isNull(), local).when(local.isNull(), before).otherwise(pick(before, local))
 
 
-def running(
-    df: DataFrame,
+def spread(df: DataFrame, order: Sequence[Column], partition: Sequence[str] = ()) -> DataFrame:
+    """``df`` cut into ranges of (partition, order), each row with its ``_range`` number, and frozen.
+
+    Freezing matters: the same rows must lie in the same ranges for every later aggregate.
+    """
+    keys = [F.col(name) for name in partition]
+    return freeze(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def accumulate(
+    ranges: DataFrame,
     order: Sequence[Column],
     values: Mapping[str, tuple[str, Column]],
     partition: Sequence[str] = (),
     inclusive: bool = True,
+    backwards: bool = False,
 ) -> DataFrame:
-    """Add running ``sum``/``min``/``max`` columns along ``order`` within ``partition``.
+    """Add running columns to the output of ``spread``; ``_range`` stays, so another pass can follow.
 
-    ``order`` must end in a unique key. ``values`` maps the new column name to ``(kind, expression)``.
-    With ``inclusive=False`` the current row is left out, so ``max(struct(order…, v))`` is the previous row.
+    ``backwards`` is for an ``order`` that runs against the one the ranges were cut by.
     """
-    keys = [F.col(name) for name in partition]
-    staged = df.select("*", *[expr.alias(f"_v_{name}") for name, (_, expr) in values.items()])
-    frozen = freeze(staged.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     edge = Window.currentRow if inclusive else -1
     within = Window.partitionBy(*partition, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, edge)
-    local = frozen.select(
-        *df.columns,
-        "_range",
-        *[_AGGREGATES[kind](f"_v_{name}").over(within).alias(f"_l_{name}") for name, (kind, _) in values.items()],
+    local = ranges.select(
+        "*", *[_AGGREGATES[kind](expr).over(within).alias(f"_l_{name}") for name, (kind, expr) in values.items()]
     )
     # One row per (group, range): at most groups + ranges rows.
-    totals = frozen.groupBy(*partition, "_range").agg(
-        *[_AGGREGATES[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in values.items()]
+    totals = ranges.groupBy(*partition, "_range").agg(
+        *[_AGGREGATES[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in values.items()]
     )
-    earlier = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.desc("_range") if backwards else F.asc("_range")
+    earlier = Window.partitionBy(*partition).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         *partition,
         "_range",
@@ -61,7 +66,7 @@ def running(
         before = F.broadcast(before)
     joined = local.join(before, [*partition, "_range"], "left")
     return joined.select(
-        *df.columns,
+        *ranges.columns,
         *[
             _combine(kind, F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name)
             for name, (kind, _) in values.items()
@@ -69,6 +74,21 @@ def running(
     )
 
 
+def running(
+    df: DataFrame,
+    order: Sequence[Column],
+    values: Mapping[str, tuple[str, Column]],
+    partition: Sequence[str] = (),
+    inclusive: bool = True,
+) -> DataFrame:
+    """Add running ``sum``/``min``/``max`` columns along ``order`` within ``partition``.
+
+    ``order`` must end in a unique key. ``values`` maps the new column name to ``(kind, expression)``.
+    With ``inclusive=False`` the current row is left out, so ``max(struct(order…, v))`` is the previous row.
+    """
+    return accumulate(spread(df, order, partition), order, values, partition, inclusive).drop("_range")
+
+
 def rank_rows(
     df: DataFrame, order: Sequence[Column], name: str = "rank", partition: Sequence[str] = ()
 ) -> DataFrame:

@@ -325,15 +325,17 @@ def feature_importance(spark, sf):
 @query(
     "per_item_function",
     oracle(
-        "SELECT structure_id, pocket_id, round(volume / greatest(sasa, 1.0), 6) AS ratio FROM v_pocket_rows", "v_pocket_rows"
+        "SELECT structure_id, pocket_id, floor(volume / greatest(sasa, 1.0) * 1e6::DOUBLE + 0.5::DOUBLE) AS ratio_ppm FROM v_pocket_rows",
+        "v_pocket_rows",
     ),
 )
 def per_item_function(spark, sf):
     def ratio(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.assign(ratio=batch.volume / batch.sasa.clip(lower=1.0))[["structure_id", "pocket_id", "ratio"]]
+        parts = (batch.volume / batch.sasa.clip(lower=1.0) * 1e6 + 0.5) // 1
+        return batch.assign(ratio_ppm=parts)[["structure_id", "pocket_id", "ratio_ppm"]]
 
     rows = domain.pocket_rows(spark, sf).select("structure_id", "pocket_id", "volume", "sasa")
-    return rounded(per_item(rows, ratio, "structure_id long, pocket_id long, ratio double"), "ratio")
+    return per_item(rows, ratio, "structure_id long, pocket_id long, ratio_ppm double")
 
 
 @query(
