@@ -29,10 +29,7 @@ def split_lines(files: DataFrame, text: str = "value") -> DataFrame:
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.pdb") -> DataFrame:
     """Lines of all files below ``path`` whose name matches, keyed by file stem."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(
             F.col("_metadata.file_path").alias("path"),
             file_stem(F.col("_metadata.file_path")).alias("structure_id"),
