@@ -118,7 +118,8 @@ def grouped_split(features: DataFrame, test_size: float = 0.2, group: str = "pdb
     hashed = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col(group)))
     ranked = rank_rows(hashed, [F.asc("_h"), F.asc(group)], "_n", ["_label"])
     sizes = labels.groupBy("_label").agg(F.count("*").alias("_size"))
-    split = ranked.join(sizes, "_label").select(group, (F.col("_n") <= F.ceil(F.col("_size") * test_size)).alias("is_test"))
+    # One row per label, and labels are binary.
+    split = ranked.join(F.broadcast(sizes), "_label").select(group, (F.col("_n") <= F.ceil(F.col("_size") * test_size)).alias("is_test"))
     return features.join(split, group)
 
 

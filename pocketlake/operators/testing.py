@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_p, t_p
-from ..plans.ordering import accumulate, average_ranks, running, spread
+from ..plans.ordering import accumulate, average_ranks, medians, running, spread
 
 
 def normal_quantile(p: float) -> float:
@@ -69,9 +69,9 @@ def two_proportion_sample_size(
     z_alpha = normal_quantile(1 - alpha / 2 if two_sided else 1 - alpha)
     z_beta = normal_quantile(power)
     mean = (p1 + p2) / 2
-    spread = z_alpha * F.sqrt(2 * mean * (1 - mean)) + z_beta * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    effect = z_alpha * F.sqrt(2 * mean * (1 - mean)) + z_beta * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
     valid = (p1 > 0) & (p1 < 1) & (p2 > 0) & (p2 < 1) & (p1 != p2)
-    return F.when(valid, F.ceil(spread * spread / ((p1 - p2) * (p1 - p2))))
+    return F.when(valid, F.ceil(effect * effect / ((p1 - p2) * (p1 - p2))))
 
 
 def sample_size_issue(p1: Column, p2: Column) -> Column:
@@ -176,12 +176,12 @@ def t_tests(df: DataFrame, value: str, is_a: Column) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Median-centred Levene statistic over the groups of ``group`` and its p.
 
-    The exact median of a group is the only step that orders rows; it works on a histogram of
-    distinct values, which Spark merges from partial ones.
+    A test compares a handful of groups, so their medians travel as one small map and rows stay where they are.
     """
-    medians = df.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    spread = df.join(medians, group).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
-    cells = spread.groupBy(group).agg(
+    table = medians(df, value, group).agg(F.map_from_entries(F.collect_list(F.struct(group, "median"))).alias("m"))
+    centre = F.try_element_at("_m", F.col(group))
+    gaps = df.withColumn("_m", table.scalar()).withColumn("_z", F.abs(F.col(value) - centre))
+    cells = gaps.groupBy(group).agg(
         F.count("_z").alias("n"), F.avg("_z").alias("m"), F.var_pop("_z").alias("v")
     )
     grand = cells.agg(
@@ -200,8 +200,8 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def chosen_t_test(df: DataFrame, value: str, group: str, a: str, alpha: float = 0.05) -> DataFrame:
     """Levene's test picks Student (equal variances not rejected) or Welch."""
-    spread = levene(df, value, group).select("levene_w", "levene_p")
-    verdict = spread.select(F.struct("levene_w", "levene_p").alias("s")).scalar()
+    variances = levene(df, value, group).select("levene_w", "levene_p")
+    verdict = variances.select(F.struct("levene_w", "levene_p").alias("s")).scalar()
     tests = t_tests(df, value, F.col(group) == a).withColumn("_s", verdict)
     equal = F.col("levene_p") >= alpha
     return tests.select("*", "_s.levene_w", "_s.levene_p").select(
