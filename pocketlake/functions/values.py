@@ -54,7 +54,7 @@ def center(text: Column | str) -> Column:
     point = F.struct(
         F.get(parts, F.lit(0)).alias("x"), F.get(parts, F.lit(1)).alias("y"), F.get(parts, F.lit(2)).alias("z")
     )
-    wrong = F.raise_error(F.lit("Pocket center must contain three comma-separated coordinates.")).cast(
+    wrong = F.raise_error(F.lit("a centre needs exactly three coordinates")).cast(
         "struct<x:double,y:double,z:double>"
     )
     return F.when(column.isNull() | (F.trim(column) == ""), None).when(F.size(parts) == 3, point).otherwise(wrong)
@@ -81,7 +81,7 @@ def to_boolean(value: Column | str) -> Column:
     return (
         F.when(text.isin("1", "true", "yes"), F.lit(True))
         .when(text.isin("0", "false", "no"), F.lit(False))
-        .otherwise(F.raise_error(F.lit("is_hit column must contain boolean-like values.")).cast("boolean"))
+        .otherwise(F.raise_error(F.lit("not a yes/no value")).cast("boolean"))
     )
 
 

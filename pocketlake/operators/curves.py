@@ -28,11 +28,11 @@ def score_curve(df: DataFrame, label: str = "y", score: str = "score", partition
         {"tp": ("sum", F.col("n_pos")), "fp": ("sum", F.col("n_neg"))},
         partition,
     )
-    totals = groups.groupBy(*partition).agg(
+    totals = curve.groupBy(*partition).agg(
         F.sum("n_pos").alias("tot_pos"), F.sum("n_neg").alias("tot_neg"), F.sum("_odd").alias("_odd")
     )
     valid = (F.col("tot_pos") > 0) & (F.col("tot_neg") > 0) & (F.col("_odd") == 0)
-    wrong = F.raise_error(F.lit("y_true must contain binary labels encoded as 0/1")).cast("long")
+    wrong = F.raise_error(F.lit("labels must be 0 and 1, and both must occur")).cast("long")
     totals = totals.withColumn("tot_pos", F.when(valid, F.col("tot_pos")).otherwise(wrong)).drop("_odd")
     if partition:
         return curve.drop("_odd").join(totals, list(partition))

@@ -41,9 +41,9 @@ def checked_counts(features: DataFrame, label: str = "label") -> dict[int, int]:
     # Two labels pass; a third is enough to know the check fails.
     counts = {row[label]: row["n"] for row in class_counts(features, label).limit(3).collect()}
     if set(counts) != {0, 1}:
-        raise ValueError("Binary labels are required (0/1).")
+        raise ValueError("labels must be 0 and 1, and both must occur")
     if min(counts.values()) < 2:
-        raise ValueError(f"At least 2 examples per class are required; class counts are {counts}.")
+        raise ValueError(f"each class needs two rows or more, found {counts}")
     return counts
 
 
@@ -69,7 +69,7 @@ def classifier(model_type: str = "random_forest", seed: int = 42, weighted: bool
     elif model_type == "gradient_boosting":
         tree = GBTClassifier(labelCol="label", seed=seed, **params)
     else:
-        raise ValueError("model_type must be 'random_forest' or 'gradient_boosting'.")
+        raise ValueError("unknown model_type, use random_forest or gradient_boosting")
     if weighted:
         tree.setWeightCol("weight")
     return Pipeline(
@@ -117,7 +117,7 @@ def grouped_split(features: DataFrame, test_size: float = 0.2, group: str = "pdb
     labels = features.groupBy(group).agg(F.max("label").alias("_label"))
     hashed = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col(group)))
     ranked = rank_rows(hashed, [F.asc("_h"), F.asc(group)], "_n", ["_label"])
-    sizes = labels.groupBy("_label").agg(F.count("*").alias("_size"))
+    sizes = ranked.groupBy("_label").agg(F.max("_n").alias("_size"))
     # One row per label, and labels are binary.
     split = ranked.join(F.broadcast(sizes), "_label").select(group, (F.col("_n") <= F.ceil(F.col("_size") * test_size)).alias("is_test"))
     return features.join(split, group)

@@ -53,7 +53,7 @@ def checked_state(states: DataFrame, schema: str, text: str = "value") -> DataFr
     parsed = F.from_json(text, f"{schema}, _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"})
     staged = states.withColumn("_s", parsed)
     bad = F.col("_s").isNull() | F.col("_s._corrupt_record").isNotNull()
-    guard = F.when(bad, F.raise_error(F.lit("Checkpoint state is invalid JSON.")).cast("boolean")).otherwise(F.lit(True))
+    guard = F.when(bad, F.raise_error(F.lit("resume state is not valid JSON")).cast("boolean")).otherwise(F.lit(True))
     return staged.where(guard).select("_s.*").drop("_corrupt_record")
 
 

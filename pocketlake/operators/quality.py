@@ -49,8 +49,8 @@ def required_features(df: DataFrame, subject: str) -> DataFrame:
         subject,
         "error",
         "required_features",
-        f"Missing required feature columns: {missing}",
-        "Re-run feature extraction to populate all pocket descriptors.",
+        f"columns not found: {missing}",
+        "add the columns, or run the feature step again",
     )
     return spark.createDataFrame([row], ISSUES)
 
@@ -62,8 +62,8 @@ def schema_consistency(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     for name, df in others:
         missing, extra = sorted(expected - set(df.columns)), sorted(set(df.columns) - expected)
         if missing or extra:
-            message = f"Schema mismatch in {name}: missing={missing}, extra={extra}"
-            fix = "Regenerate outputs from a single pipeline version to keep schemas aligned."
+            message = f"columns differ from the first table: missing={missing}, extra={extra}"
+            fix = "write all tables with one version of the pipeline"
             rows.append((name, "error", "schema_consistency", message, fix))
     return first.sparkSession.createDataFrame(rows, ISSUES)
 
@@ -97,31 +97,31 @@ def results_issues(df: DataFrame, subject: str, keys: Sequence[str] = ("protein_
         kind, _, column = name.partition("_")
         n = F.col(name)
         if kind == "range":
-            message = F.format_string(f"Column '{column}' has %d values outside [0, 1].", n)
-            when(counts, n > 0, "error", "score_range", message, "Check score normalization logic and clamp/scale values to [0,1].")
+            message = F.format_string(f"{column}: %d values outside [0, 1]", n)
+            when(counts, n > 0, "error", "score_range", message, "rescale the score to [0, 1]")
         elif kind == "geometry":
             when(
-                counts, n > 0, "error", "impossible_geometry", f"Found non-positive values in '{column}'.",
-                "Recompute geometric features; pocket volumes/depth/SASA must be positive.",
+                counts, n > 0, "error", "impossible_geometry", f"{column}: values of 0 or below",
+                "measure these pockets again",
             )
         elif kind == "overlap":
-            message = F.format_string(f"%d pockets have overlap > 0.7 in '{column}'.", n)
+            message = F.format_string(f"{column}: %d pockets above 0.7", n)
             when(
                 counts, n > 0, "warning", "pocket_overlap", message,
-                "Deduplicate or merge overlapping pockets before downstream ranking.",
+                "merge overlapping pockets before ranking",
             )
     if "composite_score" in df.columns:
         when(
             normality_k2(df, "composite_score"), F.col("p_value") < 0.05, "warning", "normality_assumption",
-            "Composite scores significantly deviate from normality (p < 0.05).",
-            "Use non-parametric tests or transform scores before parametric testing.",
+            "composite_score: not normal at 0.05",
+            "prefer rank tests",
         )
     if set(keys) <= set(df.columns):
         n = F.col("duplicate_pairs")
-        message = F.format_string(f"Found %d duplicated {'/'.join(keys)} pairs.", n)
+        message = F.format_string(f"{'/'.join(keys)}: %d repeated rows", n)
         when(
             duplicate_pairs(df, keys), n > 0, "warning", "independence_assumption", message,
-            "Remove duplicate pocket observations before hypothesis testing.",
+            "drop repeated pockets before testing",
         )
     return reduce(DataFrame.unionByName, found)
 

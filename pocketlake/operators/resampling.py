@@ -143,5 +143,5 @@ def bootstrap_curves(
         bounds[0].alias("lower"), bounds[1].alias("upper"), F.count("*").alias("n_valid")
     )
     if drawn.isEmpty():
-        raise RuntimeError("Bootstrapping failed: no valid resamples with both classes.")
+        raise RuntimeError("no resample holds both labels")
     return bands, areas

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import is_basic, is_ligand
+from ..runtime import freeze
 
 _AXES = ("x", "y", "z")
 
@@ -60,7 +61,7 @@ def _box_bounds() -> tuple[Column, Column]:
     return low, high
 
 
-def _boxes(df: DataFrame, keys: Sequence[str], lo: str = "", hi: str = "") -> DataFrame:
+def _boxes(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
     parts = []
     for a in _AXES:
         parts += [F.min(f"{lo}{a}").alias(f"_lo{a}"), F.max(f"{hi}{a}").alias(f"_hi{a}")]
@@ -93,36 +94,37 @@ def nearest_distance(
     Groups of at most ``small_group`` distinct target positions are joined directly, which bounds the work
     per point. Larger groups go through boxes of two sizes: boxes that cannot hold the nearest
     target are dropped before anything smaller is joined, so work follows the space near a point and not the group.
+    The target positions are frozen, so that however they were derived is run once.
     """
     spots = targets.select(group, *_AXES).distinct()
     sizes = spots.groupBy(group).agg(F.count("*").alias("_n"))
-    sized = points.select(*point_key, *_AXES, *([group] if group not in point_key else [])).join(sizes, group)
+    tagged = freeze(spots.join(sizes, group)).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
     key = list(dict.fromkeys([*point_key, group]))
+    located = points.select(*key, *_AXES)
     gap = F.sqrt(
         sum(((F.col(a) - F.col(f"_t{a}")) * (F.col(a) - F.col(f"_t{a}")) for a in _AXES), start=F.lit(0.0))
     )
-    renamed = spots.withColumnsRenamed({a: f"_t{a}" for a in _AXES})
 
-    direct = sized.where(F.col("_n") <= small_group).join(renamed, group)
-    direct = direct.groupBy(*key).agg(F.min(gap).alias("distance"))
+    def closest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(*key).agg(F.min(gap).alias("distance")).select(*point_key, "distance")
 
-    big = sized.where(F.col("_n") > small_group)
-    big_spots = spots.join(sizes.where(F.col("_n") > small_group).select(group), group, "left_semi")
-
-    def cells(size: float, prefix: str, axis_prefix: str = "") -> list[Column]:
-        return [F.floor(F.col(f"{axis_prefix}{a}") / size).cast("long").alias(f"{prefix}{a}") for a in _AXES]
+    direct = closest(located.join(tagged.where(F.col("_n") <= small_group), group))
+    large = tagged.where(F.col("_n") > small_group)
+    if large.isEmpty():
+        return direct
 
     fine_cells, coarse_cells = [f"_f{a}" for a in _AXES], [f"_g{a}" for a in _AXES]
-    placed = big_spots.select(group, *_AXES, *cells(fine, "_f"), *cells(coarse, "_g"))
-    fine_boxes = _boxes(placed, [group, *coarse_cells, *fine_cells])
+    cells = [
+        F.floor(F.col(f"_t{a}") / size).cast("long").alias(f"{prefix}{a}")
+        for prefix, size in (("_f", fine), ("_g", coarse))
+        for a in _AXES
+    ]
+    placed = large.select(group, *[f"_t{a}" for a in _AXES], *cells)
+    fine_boxes = _boxes(placed, [group, *coarse_cells, *fine_cells], "_t", "_t")
     coarse_boxes = _boxes(fine_boxes, [group, *coarse_cells], "_lo", "_hi")
-    in_coarse = _closest_boxes(big.join(coarse_boxes, group), key)
+    in_coarse = _closest_boxes(located.join(coarse_boxes, group), key)
     in_fine = _closest_boxes(in_coarse.join(fine_boxes, [group, *coarse_cells]), key)
-    exact = in_fine.join(
-        placed.withColumnsRenamed({a: f"_t{a}" for a in _AXES}), [group, *coarse_cells, *fine_cells]
-    )
-    exact = exact.groupBy(*key).agg(F.min(gap).alias("distance"))
-    return direct.unionByName(exact).select(*point_key, "distance")
+    return direct.unionByName(closest(in_fine.join(placed, [group, *coarse_cells, *fine_cells])))
 
 
 def burial_depth(

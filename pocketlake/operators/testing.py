@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import f_p, t_p
 from ..plans.ordering import accumulate, average_ranks, medians, running, spread
+from ..runtime import freeze
 
 
 def normal_quantile(p: float) -> float:
@@ -39,7 +40,7 @@ def benjamini_hochberg(
     value = F.col(p)
     bad = (value < 0) | (value > 1) | F.isnan(value)
     checked = df.withColumn(
-        p, F.when(bad, F.raise_error(F.lit("All p-values must be in [0, 1].")).cast("double")).otherwise(value)
+        p, F.when(bad, F.raise_error(F.lit("p-value outside [0, 1]")).cast("double")).otherwise(value)
     )
     groups = checked.where(F.col(p).isNotNull()).groupBy(*partition, p).agg(F.count("*").alias("_n"))
     ranked = accumulate(spread(groups, [F.col(p)], partition), [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
@@ -76,14 +77,14 @@ def two_proportion_sample_size(
 
 def sample_size_issue(p1: Column, p2: Column) -> Column:
     inside = (p1 > 0) & (p1 < 1) & (p2 > 0) & (p2 < 1)
-    return F.when(~inside, "p1 and p2 must be between 0 and 1.").when(
-        p1 == p2, "p1 and p2 must differ for power analysis."
+    return F.when(~inside, "a rate is not inside (0, 1)").when(
+        p1 == p2, "the two rates are equal"
     )
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: pair count, rank correlation (average ranks) and its two-sided p. NULL pairs are dropped."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_n"))
+    pairs = freeze(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_n")))
 
     def ranks(value: str, name: str) -> DataFrame:
         counts = pairs.groupBy(value).agg(F.sum("_n").alias("_n"))
@@ -145,8 +146,8 @@ def cohens_d(df: DataFrame, value: str, is_a: Column) -> DataFrame:
     m = _two_group_moments(df, value, is_a)
     na, nb = F.col("n_a"), F.col("n_b")
     pooled = F.sqrt(((na - 1) * F.col("var_a") + (nb - 1) * F.col("var_b")) / (na + nb - 2))
-    few = F.raise_error(F.lit("Each group must contain at least two observations.")).cast("double")
-    flat = F.raise_error(F.lit("Pooled standard deviation is zero; Cohen's d undefined.")).cast("double")
+    few = F.raise_error(F.lit("a group has fewer than two values")).cast("double")
+    flat = F.raise_error(F.lit("both groups are constant, so the effect size is undefined")).cast("double")
     d = F.when((na < 2) | (nb < 2), few).when(pooled == 0, flat).otherwise((F.col("mean_a") - F.col("mean_b")) / pooled)
     return m.select("n_a", "n_b", d.alias("cohens_d"))
 
@@ -254,7 +255,7 @@ def empirical_cdf(df: DataFrame, value: str, group: str) -> DataFrame:
     """Distinct values of each group with the fraction of its rows that are no larger."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("_n"))
     upto = running(counts, [F.col(value)], {"_upto": ("sum", F.col("_n"))}, [group])
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
+    totals = upto.groupBy(group).agg(F.sum("_n").alias("_total"))
     return upto.join(totals, group).select(
         group, value, F.col("_n").alias("n_rows"), (F.col("_upto") / F.col("_total")).alias("cume_dist")
     )

@@ -74,7 +74,7 @@ def dynamics_report(candidates: DataFrame, frames: DataFrame) -> DataFrame:
         report = report.join(metrics, "candidate_id", "left")
     failed = F.col("avg_pocket_rmsf_nm").isNull()
     return report.withColumn("classification", F.when(failed, "failed").otherwise(pocket_stability())).withColumn(
-        "error", F.when(failed, "No atoms selected for pocket residues; check residue numbering.")
+        "error", F.when(failed, "no pocket atoms in any frame")
     )
 
 

@@ -112,7 +112,7 @@ def medians(df: DataFrame, value: str, group: str, name: str = "median") -> Data
     """Exact median per group from running counts, so no group is held in one place."""
     counts = tie_groups(df.where(F.col(value).isNotNull()), value, [group], _n=F.lit(1).cast("long"))
     upto = running(counts, [F.col(value)], {"_upto": ("sum", F.col("_n"))}, [group])
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
+    totals = upto.groupBy(group).agg(F.sum("_n").alias("_total"))
     placed, total = upto.join(totals, group), F.col("_total")
     low = F.min(F.when(F.col("_upto") >= F.floor((total + 1) / 2), F.col(value)))
     high = F.min(F.when(F.col("_upto") >= F.ceil((total + 1) / 2), F.col(value)))

@@ -155,8 +155,8 @@ def pairwise_power(spark, sf):
 @query(
     "sample_size_issues",
     oracle(
-        """SELECT g, p1, p2, CASE WHEN p1 <= 0 OR p1 >= 1 OR p2 <= 0 OR p2 >= 1 THEN 'p1 and p2 must be between 0 and 1.'
-             WHEN p1 = p2 THEN 'p1 and p2 must differ for power analysis.' END AS issue
+        """SELECT g, p1, p2, CASE WHEN p1 <= 0 OR p1 >= 1 OR p2 <= 0 OR p2 >= 1 THEN 'a rate is not inside (0, 1)'
+             WHEN p1 = p2 THEN 'the two rates are equal' END AS issue
            FROM (SELECT basic_residues AS g, round(count(*) FILTER (WHERE sasa < 10) / count(*), 2) AS p1,
              CASE basic_residues WHEN 1 THEN 1.0 WHEN 2 THEN round(count(*) FILTER (WHERE sasa < 10) / count(*), 2)
                ELSE 0.5 END AS p2 FROM v_pocket_rows GROUP BY basic_residues)""",

@@ -330,14 +330,14 @@ def duplicate_pairs(spark, sf):
             count(*) FILTER (WHERE sasa / 50 > 0.7) AS o, count(*) - count(DISTINCT (structure_id, pocket_id)) AS d
           FROM v_pocket_rows)
         SELECT 'screen' AS subject, 'error' AS level, 'score_range' AS "check",
-          'Column ''normalized_score'' has ' || r || ' values outside [0, 1].' AS message FROM c WHERE r > 0
-        UNION ALL SELECT 'screen', 'error', 'impossible_geometry', 'Found non-positive values in ''pocket_depth''.' FROM c WHERE g > 0
-        UNION ALL SELECT 'screen', 'warning', 'pocket_overlap', o || ' pockets have overlap > 0.7 in ''overlap_fraction''.' FROM c
+          'normalized_score: ' || r || ' values outside [0, 1]' AS message FROM c WHERE r > 0
+        UNION ALL SELECT 'screen', 'error', 'impossible_geometry', 'pocket_depth: values of 0 or below' FROM c WHERE g > 0
+        UNION ALL SELECT 'screen', 'warning', 'pocket_overlap', 'overlap_fraction: ' || o || ' pockets above 0.7' FROM c
           WHERE o > 0
         UNION ALL SELECT 'screen', 'warning', 'normality_assumption',
-          'Composite scores significantly deviate from normality (p < 0.05).'
+          'composite_score: not normal at 0.05'
         UNION ALL SELECT 'screen', 'warning', 'independence_assumption',
-          'Found ' || d || ' duplicated protein_file/pocket_id pairs.' FROM c WHERE d > 0""",
+          'protein_file/pocket_id: ' || d || ' repeated rows' FROM c WHERE d > 0""",
         "v_pocket_rows",
     ),
 )

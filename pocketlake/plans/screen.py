@@ -11,11 +11,15 @@ from ..operators.features import lining_features, residues_from_atoms
 from ..operators.filters import by_criteria, cryptic_candidates, top_per_group
 from ..operators.ledger import remaining
 from ..operators.spatial import burial_depth
+from ..runtime import freeze
 
 
 def analyse(pockets: DataFrame, atoms: DataFrame, scorer: Scorer | None = None, potential: DataFrame | None = None) -> DataFrame:
-    """Features and score of every pocket of every structure in one plan."""
-    residues = residues_from_atoms(atoms)
+    """Features and score of every pocket of every structure in one plan.
+
+    The residue table is frozen: it serves two joins and is a fraction of the atoms it comes from.
+    """
+    residues = freeze(residues_from_atoms(atoms))
     rows = lining_features(pockets, residues).join(burial_depth(pockets, atoms), ["structure_id", "pocket_id"])
     if potential is None:
         rows = rows.withColumn("electrostatic_potential", F.lit(None).cast("double"))

@@ -59,5 +59,5 @@ def require_columns(df: DataFrame, columns: Iterable[str], label: str) -> DataFr
     """Raise when ``df`` lacks one of ``columns``; otherwise hand it back for chaining."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"{label} is missing required columns: {', '.join(missing)}")
+        raise ValueError(f"{label} lacks columns: {', '.join(missing)}")
     return df

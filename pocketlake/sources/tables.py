@@ -44,15 +44,15 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame | None, Data
     name = path.rstrip("/").rsplit("/", 1)[-1]
     suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if suffix not in ("csv", "json"):
-        fix = "Use .csv or .json output files for validation."
-        row = (name, "error", "file_format", f"Unsupported results format: .{suffix}", fix)
+        fix = "export the table in one of the two formats"
+        row = (name, "error", "file_format", f"results must be .csv or .json, not .{suffix}", fix)
         return None, spark.createDataFrame([row], ISSUES)
     if suffix == "csv":
         return read_csv(spark, path), spark.createDataFrame([], ISSUES)
     df = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     if "_corrupt_record" in df.columns:
-        fix = "Ensure the output is valid CSV/JSON and not truncated."
-        row = (name, "error", "file_read", f"Failed to parse {name}", fix)
+        fix = "write the file again"
+        row = (name, "error", "file_read", f"{name} cannot be read", fix)
         return None, spark.createDataFrame([row], ISSUES)
     if "results" in df.columns:
         df = df.select(F.inline("results"))
@@ -74,7 +74,7 @@ def read_work_list(spark: SparkSession, path: str) -> DataFrame:
 
 def export_table(df: DataFrame, path: str, export_format: str) -> str:
     if export_format not in EXPORT_FORMATS:
-        raise ValueError(f"Invalid export configuration: format must be one of {', '.join(EXPORT_FORMATS)}")
+        raise ValueError(f"unsupported export format, use one of {', '.join(EXPORT_FORMATS)}")
     writer = df.write.mode("overwrite")
     if export_format == "csv":
         writer = writer.option("header", True)
