@@ -101,7 +101,7 @@ def features(spark):
 
 def test_input_checks(spark, features):
     assert learning.checked_counts(features) == {0: 60, 1: 60}
-    with pytest.raises(ValueError, match="missing required columns: sasa"):
+    with pytest.raises(ValueError, match="lacks columns: sasa"):
         learning.checked_counts(features.drop("sasa"))
     with pytest.raises(ValueError, match="labels must be 0 and 1"):
         learning.checked_counts(features.where("label = 1"))
