@@ -33,19 +33,24 @@ def _around(rows: DataFrame, size: float) -> DataFrame:
 
 
 def radius_pairs(
-    points: DataFrame, targets: DataFrame, radius: float, group: Sequence[str] = ("structure_id",)
+    points: DataFrame, targets: DataFrame, radius: float, group: Sequence[str] = ("structure_id",), salts: int = 1
 ) -> DataFrame:
     """Pairs within ``radius`` inside the same group, with ``dx, dy, dz`` (point − target) and ``distance``.
 
     ``points`` should be the smaller side: it is repeated for its 27 surrounding cells, the targets are
-    not. All other columns of both sides are kept and must differ in name.
+    not. All other columns of both sides are kept and must differ in name. ``salts`` splits every cell of targets
+    into that many join keys, for data whose crowded cells are known before adaptive execution could see them.
     """
     key = [*group, "_cx", "_cy", "_cz"]
     spread = _around(points, radius)
     placed = targets.select("*", *_cell(radius)).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
+    if salts > 1:
+        key.append("_salt")
+        spread = spread.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*placed.columns), F.lit(salts)).cast("long"))
     joined = spread.join(placed, key)
     gaps = [(F.col(a) - F.col(f"_t{a}")).alias(f"d{a}") for a in _AXES]
-    kept = [c for c in joined.columns if c not in {"_cx", "_cy", "_cz", "_tx", "_ty", "_tz"}]
+    kept = [c for c in joined.columns if c not in {"_cx", "_cy", "_cz", "_tx", "_ty", "_tz", "_salt"}]
     distance = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     return joined.select(*kept, *gaps).withColumn("distance", distance).where(F.col("distance") <= radius)
 

@@ -25,11 +25,13 @@ def cloud(spark, n=400, seed=1, groups=("a", "a", "a", "b")):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_radius_join_equals_brute_force(spark):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_radius_join_equals_brute_force(spark, salts):
     pdf, df = cloud(spark)
     points, targets = df.where("k % 3 = 0"), df.where("k % 3 != 0").withColumnRenamed("k", "j")
-    got = {(r.k, r.j) for r in spatial.radius_pairs(points, targets, 6.0).collect()}
-    want = set()
+    rows = [(r.k, r.j) for r in spatial.radius_pairs(points, targets, 6.0, salts=salts).collect()]
+    got, want = set(rows), set()
+    assert len(rows) == len(got)
     for _, g in pdf.groupby("structure_id"):
         p, t = g[g.k % 3 == 0], g[g.k % 3 != 0]
         for i, a in zip(p.k, p[list("xyz")].to_numpy()):
