@@ -82,9 +82,10 @@ def pr_points(curve: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
 
 
 def curve_areas(curve: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC, trapezoid PR area with end points, the same without them, and step average precision.
+    """ROC AUC, trapezoid PR area and step average precision.
 
-    Every segment knows both its ends, so the areas are plain sums.
+    Every segment knows both its ends, so the areas are plain sums. The PR end points (0, 1) and (1, base rate) add
+    no further width once ties share a point, so the area with and without them is the same.
     """
     r = _rates()
     roc = (r["fpr"] - r["fpr0"]) * (r["tpr"] + r["tpr0"]) / 2

@@ -6,11 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.scorers import RuleScorer, per_item
-
 from ..operators import learning, ledger
-
 from ..runtime import freeze, scratch_path
-
 from ..streaming import incremental
 from . import domain
 from .oracle_views import class_sql, composite_sql, oracle
