@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pocketlake.runtime import freeze
 
 from . import textstats
-from .shared import map_rows
+from .shared import fresh, map_rows
 
 #: Labelled documents that the classifier is fitted on at most.
 LABELLED = 8_000
@@ -91,8 +91,6 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Classifier:
 
 def bounded_labels(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
     """(key, label, body) of at most ``rows`` labelled documents and ``chars`` characters, in the order of a hash of the key."""
-    from pyspark.sql import Window
-
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_label"))
     first = known.orderBy(F.xxhash64("_key"), "_key").limit(rows)
     found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
@@ -196,8 +194,9 @@ def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     evidence = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), evidence_column(classifier, text).alias("p"))
     sites, prior = site_posteriors(evidence)
     shift = SITE_WEIGHT * (log_odds(F.col("path_posterior")) - log_odds(F.lit(prior.mean)))
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), shift.alias("_shift"))
-    on = F.col(f"d.{host}").eqNullSafe(F.col("_host")) & F.col(f"d.{path}").eqNullSafe(F.col("_path"))
-    scored = docs.withColumn("_p", evidence_column(classifier, text)).alias("d").join(sites, on)
-    quality = 1 / (1 + F.exp(-(log_odds(F.col("_p")) + F.col("_shift"))))
-    return scored.filter(quality >= KEEP).select(*[F.col(f"d.{c}") for c in docs.columns])
+    p, own_host, own_path, own_shift = (fresh(docs, n) for n in ("p", "host", "path", "shift"))
+    sites = sites.select(F.col("host").alias(own_host), F.col("path").alias(own_path), shift.alias(own_shift))
+    on = docs[host].eqNullSafe(F.col(own_host)) & docs[path].eqNullSafe(F.col(own_path))
+    scored = docs.withColumn(p, evidence_column(classifier, text)).join(sites, on)
+    quality = 1 / (1 + F.exp(-(log_odds(F.col(p)) + F.col(own_shift))))
+    return scored.filter(quality >= KEEP).select(*docs.columns)

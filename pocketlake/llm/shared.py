@@ -34,6 +34,15 @@ def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     return T.StructField(alias or name, df.schema[name].dataType, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_rows(
     df: DataFrame, keys: list[str], body: str, extra: list[T.StructField], make: Callable[[], Callable[[bytes], tuple]]
 ) -> DataFrame:

@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pocketlake.runtime import freeze
 
+from .shared import fresh
+
 WORDS = 3
 DISTANCE = 2
 #: Fingerprints that the upper tree is laid over at most, and how many of all fingerprints a leaf is meant to hold.
@@ -285,19 +287,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     Of repeated rows with the same key in one component any one stays.
     """
-    columns = docs.columns
     marked = freeze(docs.select(F.col(key).alias("_key"), fingerprint_column(text, words).alias("fp")))
     labels = fingerprint_components(marked, distance)
-    nodes = marked.groupBy("fp", "_key").agg(F.count("*").alias("_n")).join(labels, "fp", "left")
-    nodes = freeze(nodes.withColumn("label", F.coalesce("label", "fp")))
-    best = nodes.groupBy("label").agg(F.min("_key").alias("_key"))
-    chosen = nodes.join(best.withColumnRenamed("_key", "_best"), "label").filter(F.col("_key").eqNullSafe(F.col("_best")))
-    # A key may stand in a component with several texts: the least fingerprint stays.
-    chosen = chosen.groupBy("label").agg(F.min(F.struct("fp", "_n")).alias("_c"), F.first("_best").alias("_key"))
-    chosen = chosen.select(F.col("_c.fp").alias("_fp"), F.col("_c._n").alias("_n"), "_key")
-    tagged = docs.withColumn("_fp", fingerprint_column(text, words))
-    on = (F.col("d._fp") == F.col("c._fp")) & F.col(f"d.{key}").eqNullSafe(F.col("c._key"))
-    kept = tagged.alias("d").join(chosen.alias("c"), on).select("d.*", "c._n")
-    once = kept.filter("_n = 1").select(*columns)
-    again = kept.filter("_n > 1").dropDuplicates(["_fp", key]).select(*columns)
-    return once.unionByName(again)
+    nodes = marked.groupBy("fp", "_key").agg(F.lit(1).alias("_n")).join(labels, "fp", "left")
+    nodes = nodes.withColumn("label", F.coalesce("label", "fp"))
+    # The least key, and of its texts in the component the least fingerprint: a row per component that a task has summed up before it is sent.
+    best = nodes.groupBy("label").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key"), F.col("fp"))).alias("best"))
+    fp, name, nth, mine = (fresh(docs, n) for n in ("fp", "name", "nth", "mine"))
+    # A null key gets a name of its own, so that an ordinary equality joins it.
+    named = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
+    chosen = best.select(F.col("best.fp").alias(fp), F.col("best._key").alias(key)).select(fp, named.alias(name), F.lit(True).alias(mine))
+    tagged = docs.withColumns({fp: fingerprint_column(text, words), name: named})
+    kept = tagged.join(chosen, [fp, name])
+    # Repeated rows: the join has put them side by side already.
+    order = Window.partitionBy(fp, name).orderBy(fp)
+    return kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns)
