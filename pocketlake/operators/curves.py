@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import running
+from ..plans.ordering import join_groups, running
 
 
 def score_curve(df: DataFrame, label: str = "y", score: str = "score", partition: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def score_curve(df: DataFrame, label: str = "y", score: str = "score", partition
     wrong = F.raise_error(F.lit("labels must be 0 and 1, and both must occur")).cast("long")
     totals = totals.withColumn("tot_pos", F.when(valid, F.col("tot_pos")).otherwise(wrong)).drop("_odd")
     if partition:
-        return curve.drop("_odd").join(totals, list(partition))
+        return join_groups(curve.drop("_odd"), totals, list(partition))
     sums = totals.select(F.struct("tot_pos", "tot_neg").alias("s")).scalar()
     return curve.withColumn("_s", sums).select("*", "_s.tot_pos", "_s.tot_neg").drop("_s", "_odd")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import neg_log10
-from ..functions.special import fisher_p
+from ..functions.special import fisher_p, hypergeometric_shift_tail
 from ..runtime import freeze
 from .comparative import protein_hits
 from .testing import benjamini_hochberg
@@ -97,9 +97,9 @@ def permutation_enrichment(
 ) -> DataFrame:
     """Permutation p-value of the hit-rate shift of each category, with FDR control.
 
-    Shuffling hit flags gives the hit count of a category a hypergeometric law, so each replicate is one
-    draw from it and rows are never shuffled. Draws depend on ``seed`` and the category only. NumPy's draw ends at
-    10⁹ rows; larger tables use its normal limit with the same mean and variance.
+    Shuffling hit flags gives the hit count of a category a hypergeometric law, so rows are never shuffled. Replicates are
+    independent, so how many of them are as extreme as what was seen is one binomial draw with that law's tail, which
+    is summed exactly at any number of rows. Draws depend on ``seed`` and the category only.
     """
     counts = df.groupBy(F.col(category).alias("category")).agg(
         F.count("*").alias("n"), F.count_if(F.col(hit)).alias("k")
@@ -112,14 +112,9 @@ def permutation_enrichment(
             extreme = []
             for row in batch.itertuples(index=False):
                 rng = np.random.default_rng([seed, zlib.crc32(str(row.category).encode())])
-                rate = row.k_all / row.n_all
-                if row.n_all < 10**9:
-                    hits = rng.hypergeometric(row.k_all, row.n_all - row.k_all, row.n, size=n_permutations)
-                else:
-                    shrink = (row.n_all - row.n) / (row.n_all - 1)
-                    hits = rng.normal(row.n * rate, np.sqrt(row.n * rate * (1 - rate) * shrink), n_permutations)
-                seen = abs(row.k / row.n - rate)
-                extreme.append(int(np.sum(np.abs(hits / row.n - rate) >= seen - 1e-12)))
+                seen = abs(row.k / row.n - row.k_all / row.n_all)
+                tail = hypergeometric_shift_tail(int(row.n_all), int(row.k_all), int(row.n), seen)
+                extreme.append(int(rng.binomial(n_permutations, tail)))
             yield batch.assign(p_value=(np.asarray(extreme) + 1) / (n_permutations + 1))
 
     kind = df.schema[category].dataType.simpleString()

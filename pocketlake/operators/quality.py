@@ -244,10 +244,10 @@ def stale_rows(df: DataFrame, as_of: str, max_age_days: int = 365, id_col: str =
     return df.select(id_col, age.alias("age_days")).where(F.col("age_days") > max_age_days)
 
 
-def unknown_accessions(df: DataFrame, known: DataFrame, id_col: str = "uniprot_id", sample: int = 20) -> DataFrame:
-    """Of the first ``sample`` distinct ids, those missing from the landed accession table."""
+def unknown_accessions(df: DataFrame, known: DataFrame, id_col: str = "uniprot_id") -> DataFrame:
+    """All distinct ids that the landed accession table lacks."""
     ids = df.where(F.col(id_col).isNotNull() & (F.col(id_col) != "")).select(id_col).distinct()
-    return ids.orderBy(id_col).limit(sample).join(known.select(id_col).distinct(), id_col, "left_anti")
+    return ids.join(known.select(id_col), id_col, "left_anti")
 
 
 def checksum_issues(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -90,20 +90,16 @@ def nearest_distance(
     targets: DataFrame,
     point_key: Sequence[str],
     group: str = "structure_id",
-    small_group: int = 5000,
     fine: float = 8.0,
     coarse: float = 64.0,
 ) -> DataFrame:
     """``point_key`` with the ``distance`` to the nearest target of the same group (no row if it has none).
 
-    Groups of at most ``small_group`` distinct target positions are joined directly, which bounds the work
-    per point. Larger groups go through boxes of two sizes: boxes that cannot hold the nearest
-    target are dropped before anything smaller is joined, so work follows the space near a point and not the group.
-    The target positions are frozen, so that however they were derived is run once.
+    Targets lie in boxes of two sizes. Boxes that cannot hold the nearest target are dropped before anything smaller is
+    joined, so work follows the space near a point and not the group. The target positions are frozen, so that however
+    they were derived is run once.
     """
-    spots = targets.select(group, *_AXES).distinct()
-    sizes = spots.groupBy(group).agg(F.count("*").alias("_n"))
-    tagged = freeze(spots.join(sizes, group)).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
+    spots = freeze(targets.select(group, *_AXES).distinct()).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
     key = list(dict.fromkeys([*point_key, group]))
     located = points.select(*key, *_AXES)
     gap = F.sqrt(
@@ -113,23 +109,18 @@ def nearest_distance(
     def closest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(*key).agg(F.min(gap).alias("distance")).select(*point_key, "distance")
 
-    direct = closest(located.join(tagged.where(F.col("_n") <= small_group), group))
-    large = tagged.where(F.col("_n") > small_group)
-    if large.isEmpty():
-        return direct
-
     fine_cells, coarse_cells = [f"_f{a}" for a in _AXES], [f"_g{a}" for a in _AXES]
     cells = [
         F.floor(F.col(f"_t{a}") / size).cast("long").alias(f"{prefix}{a}")
         for prefix, size in (("_f", fine), ("_g", coarse))
         for a in _AXES
     ]
-    placed = large.select(group, *[f"_t{a}" for a in _AXES], *cells)
+    placed = spots.select(group, *[f"_t{a}" for a in _AXES], *cells)
     fine_boxes = _boxes(placed, [group, *coarse_cells, *fine_cells], "_t", "_t")
     coarse_boxes = _boxes(fine_boxes, [group, *coarse_cells], "_lo", "_hi")
     in_coarse = _closest_boxes(located.join(coarse_boxes, group), key)
     in_fine = _closest_boxes(in_coarse.join(fine_boxes, [group, *coarse_cells]), key)
-    return direct.unionByName(closest(in_fine.join(placed, [group, *coarse_cells, *fine_cells])))
+    return closest(in_fine.join(placed, [group, *coarse_cells, *fine_cells]))
 
 
 def burial_depth(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_p, t_p
-from ..plans.ordering import accumulate, average_ranks, medians, running, spread
+from ..plans.ordering import accumulate, average_ranks, join_groups, medians, running, spread
 from ..runtime import freeze
 
 
@@ -46,7 +46,7 @@ def benjamini_hochberg(
     ranked = accumulate(spread(groups, [F.col(p)], partition), [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
     sizes = ranked.groupBy(*partition).agg(F.max("_rank").alias("_m"))
     if partition:
-        sized = ranked.join(sizes, list(partition))
+        sized = join_groups(ranked, sizes, list(partition))
     else:
         sized = ranked.withColumn("_m", sizes.select("_m").scalar())
     scaled = sized.withColumn("_raw", F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0)))
@@ -54,13 +54,13 @@ def benjamini_hochberg(
     passing = F.when(F.col(p) <= F.col("_rank") / F.col("_m") * alpha, F.col(p))
     cut = adjusted.groupBy(*partition).agg(F.max(passing).alias("_cut"))
     if partition:
-        decided = adjusted.join(cut, list(partition))
+        decided = join_groups(adjusted, cut, list(partition))
     else:
         decided = adjusted.withColumn("_cut", cut.select("_cut").scalar())
     decided = decided.select(
         *partition, p, q_name, F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False)).alias(reject)
     )
-    return checked.join(decided, [*partition, p], "left")
+    return join_groups(checked, decided, [*partition, p], "left")
 
 
 def two_proportion_sample_size(
@@ -256,6 +256,6 @@ def empirical_cdf(df: DataFrame, value: str, group: str) -> DataFrame:
     counts = df.groupBy(group, value).agg(F.count("*").alias("_n"))
     upto = running(counts, [F.col(value)], {"_upto": ("sum", F.col("_n"))}, [group])
     totals = upto.groupBy(group).agg(F.sum("_n").alias("_total"))
-    return upto.join(totals, group).select(
+    return join_groups(upto, totals, [group]).select(
         group, value, F.col("_n").alias("n_rows"), (F.col("_upto") / F.col("_total")).alias("cume_dist")
     )

@@ -24,6 +24,13 @@ def _combine(kind: str, before: Column, local: Column) -> Column:
     return F.when(before.isNull(), local).when(local.isNull(), before).otherwise(pick(before, local))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL as a group of its own; the keys come from ``left``."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def spread(df: DataFrame, order: Sequence[Column], partition: Sequence[str] = ()) -> DataFrame:
     """``df`` cut into ranges of (partition, order), each row with its ``_range`` number, and frozen.
 
@@ -61,10 +68,11 @@ def accumulate(
         "_range",
         *[_AGGREGATES[kind](f"_t_{name}").over(earlier).alias(f"_b_{name}") for name, (kind, _) in values.items()],
     )
-    if not partition:
+    if partition:
+        joined = join_groups(local, before, [*partition, "_range"], "left")
+    else:
         # One row per range partition, so its size is the number of shuffle partitions.
-        before = F.broadcast(before)
-    joined = local.join(before, [*partition, "_range"], "left")
+        joined = local.join(F.broadcast(before), "_range", "left")
     return joined.select(
         *ranges.columns,
         *[
@@ -113,7 +121,7 @@ def medians(df: DataFrame, value: str, group: str, name: str = "median") -> Data
     counts = tie_groups(df.where(F.col(value).isNotNull()), value, [group], _n=F.lit(1).cast("long"))
     upto = running(counts, [F.col(value)], {"_upto": ("sum", F.col("_n"))}, [group])
     totals = upto.groupBy(group).agg(F.sum("_n").alias("_total"))
-    placed, total = upto.join(totals, group), F.col("_total")
+    placed, total = join_groups(upto, totals, [group]), F.col("_total")
     low = F.min(F.when(F.col("_upto") >= F.floor((total + 1) / 2), F.col(value)))
     high = F.min(F.when(F.col("_upto") >= F.ceil((total + 1) / 2), F.col(value)))
     return placed.groupBy(group).agg(((low + high) / 2).alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import electro, features, filters, matching, spatial, trajectory
+from ..operators import electro, features, matching, spatial, trajectory
 from . import domain, screen
 from .oracle_views import oracle
 from .queries_comparative import rounded
@@ -120,7 +120,7 @@ def nearest_by_boxes(spark, sf):
     atoms = domain.atoms(spark, sf)
     points = atoms.where("is_het OR atom_id % 2 = 1").select("structure_id", "atom_id", "x", "y", "z")
     near = spatial.nearest_distance(
-        points, atoms.where("NOT is_het"), ["structure_id", "atom_id"], small_group=0, fine=4.0, coarse=16.0
+        points, atoms.where("NOT is_het"), ["structure_id", "atom_id"], fine=4.0, coarse=16.0
     )
     return rounded(near, "distance")
 
@@ -505,7 +505,7 @@ _REPORT = f"""{_FRAME_AREA}, {_POCKET_FRAMES},
         WHEN (avg_pocket_sasa_nm2 <= 1)::INT + (avg_pocket_rmsf_nm <= 0.2)::INT + (avg_waters_in_pocket <= 1)::INT >= 2 THEN 'stably buried'
         WHEN (avg_pocket_sasa_nm2 >= 5)::INT + (avg_pocket_rmsf_nm >= 0.45)::INT + (avg_waters_in_pocket >= 5)::INT >= 2 THEN 'exposed'
         ELSE 'transiently accessible' END AS classification
-    FROM (SELECT candidate_id FROM ids ORDER BY 1 LIMIT 20) LEFT JOIN pa USING (candidate_id) LEFT JOIN rm USING (candidate_id)
+    FROM ids LEFT JOIN pa USING (candidate_id) LEFT JOIN rm USING (candidate_id)
       LEFT JOIN bv USING (candidate_id) LEFT JOIN wc USING (candidate_id))"""
 
 
@@ -523,7 +523,7 @@ def dynamics_report(spark, sf):
     frames = domain.frames(spark, sf)
     ids = frames.select("candidate_id").distinct()
     candidates = ids.unionByName(ids.select((F.col("candidate_id") + 1000).alias("candidate_id")))
-    report = trajectory.dynamics_report(filters.top_for_dynamics(candidates, 20), frames).drop("error")
+    report = trajectory.dynamics_report(candidates, frames).drop("error")
     return rounded(report, *[c for c in report.columns if c.startswith(("avg_", "std_"))])
 
 

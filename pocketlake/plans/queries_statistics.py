@@ -472,7 +472,7 @@ def stale_rows(spark, sf):
 
 @query(
     "unknown_accessions",
-    """SELECT id AS uniprot_id FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events ORDER BY 1 LIMIT 20)
+    """SELECT id AS uniprot_id FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events)
        WHERE id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 3 != 0)""",
 )
 def unknown_accessions(spark, sf):

@@ -40,11 +40,10 @@ def test_radius_join_equals_brute_force(spark, salts):
     assert got == want
 
 
-@pytest.mark.parametrize("small_group", [0, 100, 10**6])
-def test_nearest_distance_equals_brute_force(spark, small_group):
+def test_nearest_distance_equals_brute_force(spark):
     pdf, df = cloud(spark, seed=2)
     near = spatial.nearest_distance(
-        df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["structure_id", "k"], small_group=small_group, fine=3.0, coarse=12.0
+        df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["structure_id", "k"], fine=3.0, coarse=12.0
     )
     got = {r.k: r.distance for r in near.collect()}
     assert len(got) == (pdf.k % 2 == 0).sum()

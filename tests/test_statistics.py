@@ -194,3 +194,44 @@ def test_permutation_p_matches_exact_tail(spark):
     exact = sum(v for i, v in pmf.items() if abs(i / n - rate) >= abs(0.8 - rate) - 1e-12)
     assert table["kinase"].p_value == pytest.approx(exact, abs=0.003)
     assert table["kinase"].fdr_q_value >= table["kinase"].p_value
+
+
+@pytest.mark.parametrize("d", [1, 3, 17, 1e5, 1e9, 1e12, 1e13])
+def test_f_of_one_is_the_median_at_equal_degrees(d):
+    assert special.f_upper(1.0, d, d) == pytest.approx(0.5, abs=1e-9)
+
+
+@pytest.mark.parametrize("t", [0.5, 1.96, 3.5, 4.2])
+@pytest.mark.parametrize("dof", [1e9, 1e11, 1e13])
+def test_t_at_huge_degrees_is_normal(t, dof):
+    assert special.t_two_sided(t, dof) == pytest.approx(special.erfc_tail(t * t), rel=1e-6)
+
+
+def test_hypergeometric_tail_by_enumeration():
+    for total, marked, drawn, shift in ((20, 7, 9, 0.1), (50, 3, 40, 0.02), (12, 12, 5, 0.1), (30, 10, 30, 0.0)):
+        ways = [math.comb(marked, k) * math.comb(total - marked, drawn - k) for k in range(drawn + 1)]
+        extreme = [w for k, w in enumerate(ways) if abs(k / drawn - marked / total) >= shift - 1e-12]
+        assert special.hypergeometric_shift_tail(total, marked, drawn, shift) == pytest.approx(sum(extreme) / sum(ways))
+
+
+def test_hypergeometric_tail_at_a_trillion_rows():
+    deviation = math.sqrt(0.09 / 1e11 * 0.9)
+    tail = special.hypergeometric_shift_tail(10**12, 10**11, 10**11, 2 * deviation)
+    assert tail == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-3)
+
+
+def test_null_group_is_ranked_like_any_other(spark):
+    from pocketlake.plans import ordering
+
+    coalescing = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(2000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'a' END AS g", "(id * 7919) % 2000 AS v")
+        ranks = ordering.rank_rows(df, [F.col("v")], partition=["g"]).groupBy("g").agg(F.countDistinct("rank"), F.max("rank")).collect()
+        assert sorted(r[1:] for r in ranks) == [(1000, 1000), (1000, 1000)] and {r[0] for r in ranks} == {"a", None}
+        shares = testing.empirical_cdf(df, "v", "g").groupBy("g").agg(F.max("cume_dist"), F.count("*")).collect()
+        assert {r[0]: tuple(r[1:]) for r in shares} == {"a": (1.0, 1000), None: (1.0, 1000)}
+        middle = {r[0]: r[1] for r in ordering.medians(df, "v", "g").collect()}
+        assert set(middle) == {"a", None}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
