@@ -45,10 +45,17 @@ def ledger_batch_upsert(spark, sf):
     ),
 )
 def ledger_lookup(spark, sf):
-    rows = ledger.lookup(domain.ledger_events(spark, sf), "1", "a", "click")
+    rows = _stored(spark, sf).get("1", "a", "click")
     return rows.select("uniprot_id", F.from_json("analysis_results", "k INT")["k"].alias("k"), "seq")
 
 
+def _stored(spark, sf) -> ledger.Ledger:
+    """A ledger folder that holds all events."""
+    store = ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    store.upsert(domain.ledger_events(spark, sf))
+    return store
+
+
 @query(
     "ledger_invalidate",
     oracle(
@@ -58,10 +65,9 @@ def ledger_lookup(spark, sf):
     ),
 )
 def ledger_invalidate(spark, sf):
-    current = ledger.latest_wins(domain.ledger_events(spark, sf))
-    gone = ledger.outdated(current, "1", "a").agg(F.count("*").alias("deleted"))
-    kept = ledger.lookup(domain.ledger_events(spark, sf), "1", "a").agg(F.count("*").alias("kept"))
-    return gone.withColumn("kept", kept.scalar())
+    store = _stored(spark, sf)
+    gone = store.invalidate("1", "a")
+    return store.current().agg(F.lit(gone).cast("long").alias("deleted"), F.count("*").alias("kept"))
 
 
 @query(
@@ -92,12 +98,15 @@ def resume_anti(spark, sf):
 )
 def cache_aside(spark, sf):
     items = domain.organisms(spark, sf).select(F.col("protein_id").cast("string").alias("uniprot_id")).distinct()
-    have = ledger.lookup(domain.ledger_events(spark, sf), "1", "a")
-    known = have.join(items, "uniprot_id", "left_semi").select("uniprot_id", "analysis_results", F.lit(True).alias("cached"))
-    fresh = ledger.remaining(items, have).select(
-        "uniprot_id", F.concat(F.lit("computed "), "uniprot_id").alias("analysis_results"), F.lit(False).alias("cached")
-    )
-    return known.unionByName(fresh)
+
+    def compute(todo):
+        return todo.select(
+            "uniprot_id", F.lit(None).cast("string").alias("organism"), F.concat(F.lit("computed "), "uniprot_id").alias("analysis_results"),
+            F.lit("2030-01-01").cast("timestamp").alias("timestamp"), F.lit(1 << 60).alias("seq"), F.lit("1").alias("pipeline_version"), F.lit("a").alias("params_hash"),
+        )
+
+    rows = _stored(spark, sf).compute_missing(items, compute, "1", "a")
+    return rows.select("uniprot_id", "analysis_results", (~F.col("analysis_results").startswith("computed ")).alias("cached"))
 
 
 @query(

@@ -35,6 +35,47 @@ def test_upsert_lookup_invalidate(spark, tmp_path):
     assert [r.analysis_results for r in store.rows().collect()] == ["y"]
 
 
+def test_invalidate_takes_odd_names_and_null(spark, tmp_path):
+    store = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    day = "2026-01-01"
+    store.upsert(rows(spark, ("P1", "y", "a", day, 1, "v2:beta/1", "h"), ("P2", "y", "b", day, 2, "v1", None), ("P3", "y", "c", day, 3, "v1", "h=%/x")))
+    assert store.get("v1", "h=%/x").count() == 1
+    assert store.invalidate("v1", "h=%/x") == 2
+    assert [r.uniprot_id for r in store.rows().collect()] == ["P3"]
+    store.upsert(rows(spark, ("P4", "y", "d", day, 4, "v2:beta/1", "h")))
+    assert sorted(r.uniprot_id for r in store.rows().collect()) == ["P3", "P4"]
+    store.compact()
+    assert sorted(r.uniprot_id for r in store.rows().collect()) == ["P3", "P4"]
+    assert store.invalidate("v9", "none") == 2 and store.rows().count() == 0
+
+
+def test_append_during_compaction_stays(spark, tmp_path, monkeypatch):
+    store = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    day = "2026-01-01"
+    store.upsert(rows(spark, ("P1", "y", "a", day, 1, "v1", "h")))
+    store.upsert(rows(spark, ("P1", "y", "b", day, 2, "v1", "h")))
+    write = store._write
+
+    def slow(frame, batch):
+        write(frame, batch)
+        monkeypatch.setattr(store, "_write", write)
+        store.upsert(rows(spark, ("P2", "y", "late", day, 3, "v1", "h")))
+
+    monkeypatch.setattr(store, "_write", slow)
+    store.compact()
+    assert {r.uniprot_id: r.analysis_results for r in store.rows().collect()} == {"P1": "b", "P2": "late"}
+
+
+def test_lookup_prunes_to_one_version(spark, tmp_path, capsys):
+    store = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    store.upsert(rows(spark, *[(f"P{i}", "y", "a", "2026-01-01", i, f"v{i % 3}", "h") for i in range(9)]))
+    found = store.get("v1", "h")
+    assert found.count() == 3
+    found.explain("formatted")
+    filters = [x for x in capsys.readouterr().out.splitlines() if "PartitionFilters" in x]
+    assert filters and all("pipeline_version" in x and "params_hash" in x and "batch" in x for x in filters)
+
+
 def test_second_run_computes_nothing(spark, tmp_path):
     store = ledger.Ledger(spark, str(tmp_path / "ledger"))
     items = spark.createDataFrame([(f"P{i}",) for i in range(8)], "uniprot_id string")
