@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, map_rows
+from .shared import held_out, low_hash, map_rows
 
 #: Labelled documents taken for one language at most, and the bytes of its dictionary.
 DOCUMENTS_PER_LANGUAGE = 400
@@ -60,7 +60,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     labelled = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    keys = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang")).withColumn("nth", F.row_number().over(order))
+    low = F.lit(False)
+    for code, n in counts.items():
+        low = low | ((F.col("lang") == code) & low_hash("key", DOCUMENTS_PER_LANGUAGE, n))
+    keys = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter(low)
+    keys = keys.withColumn("nth", F.row_number().over(order))
     keys = keys.filter(F.col("nth") <= DOCUMENTS_PER_LANGUAGE).select(F.col("key").alias("_k"), F.col("lang").alias("_l"), "nth")
     # At most DOCUMENTS_PER_LANGUAGE rows per language are sent to the tasks, and as many pieces of text come back.
     labelled = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), middle(F.col(text)).alias("body"))

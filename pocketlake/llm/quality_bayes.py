@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pocketlake.runtime import freeze
 
 from . import textstats
-from .shared import fresh, map_rows
+from .shared import fresh, low_hash, map_rows
 
 #: Labelled documents that the classifier is fitted on at most.
 LABELLED = 8_000
@@ -92,7 +92,8 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Classifier:
 def bounded_labels(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
     """(key, label, body) of at most ``rows`` labelled documents and ``chars`` characters, in the order of a hash of the key."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_label"))
-    first = known.orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    known = freeze(known)
+    first = known.filter(low_hash("_key", rows, known.count())).orderBy(F.xxhash64("_key"), "_key").limit(rows)
     found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
     found = found.join(F.broadcast(first), F.col("_doc") == F.col("_key"))
     # At most `rows` keys, so one task may add up their lengths.

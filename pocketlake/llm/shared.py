@@ -34,6 +34,15 @@ def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     return T.StructField(alias or name, df.schema[name].dataType, True)
 
 
+def low_hash(key: str, size: int, total: int) -> Column:
+    """True for rows whose key hashes so low that about four times ``size`` of ``total`` are left.
+
+    A sample of the ``size`` lowest hashes then sorts a bounded number of rows, whatever the number of tasks.
+    """
+    share = min(1.0, 4.0 * size / max(1, total))
+    return F.xxhash64(key) <= F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

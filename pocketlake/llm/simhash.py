@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pocketlake.runtime import freeze
 
-from .shared import fresh
+from .shared import fresh, low_hash
 
 WORDS = 3
 DISTANCE = 2
@@ -194,8 +194,10 @@ def near_edges(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): edges of spanning forests that connect all of the distinct longs in ``nodes.fp`` within ``distance`` bits."""
     nodes = freeze(nodes.select("fp"))
     # A bounded sample in the order of a hash; the tree that comes of it decides the work, never the result.
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    per_leaf = max(16, len(sample) * NODES_PER_LEAF // max(1, nodes.count()))
+    count = nodes.count()
+    sample = nodes.filter(low_hash("fp", SAMPLE, count)).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
+    sample = sample.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    per_leaf = max(16, len(sample) * NODES_PER_LEAF // max(1, count))
     tree = UpperTree(sample, per_leaf, distance)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
