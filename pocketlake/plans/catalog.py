@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (  # noqa: F401
     queries_comparative,
+    queries_files,
     queries_geometry,
     queries_scoring,
     queries_selection,
