@@ -34,11 +34,14 @@ def ancestor_closure(edges: DataFrame, child: str = "go_id", parent: str = "pare
         size = grown
 
 
-def term_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFrame) -> DataFrame:
+def term_enrichment(
+    hits: DataFrame, associations: DataFrame, edges: DataFrame, terms: DataFrame | None = None
+) -> DataFrame:
     """Fisher test per (organism, term) of hits against all annotated proteins, ancestors included.
 
     ``associations`` has (organism, protein_id, go_id). Each protein counts once per term, which is
-    settled before counting, so a root term held by every protein is only summed.
+    settled before counting, so a root term held by every protein is only summed. ``terms`` (go_id, name, namespace)
+    adds the names of the terms, NULL for those it lacks.
     """
     closure = ancestor_closure(edges)
     direct = associations.select("organism", "protein_id", F.col("go_id").alias("term")).distinct()
@@ -62,7 +65,7 @@ def term_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFrame)
         "enrichment", F.when(s * pn > p * sn, "e").otherwise("p")
     )
     adjusted = benjamini_hochberg(freeze(tested), "p_uncorrected", partition=["organism"])
-    return adjusted.select(
+    enriched = adjusted.select(
         "organism",
         F.col("term").alias("go_id"),
         "study_count",
@@ -73,6 +76,9 @@ def term_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFrame)
         F.col("fdr_q_value").alias("fdr_bh"),
         "enrichment",
     )
+    if terms is None:
+        return enriched
+    return enriched.join(terms.select("go_id", "name", "namespace").dropDuplicates(["go_id"]), "go_id", "left")
 
 
 def best_per_term(enriched: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_p, chi2_yates, fisher_p, odds_ratio
+from ..functions.special import chi2_p, chi2_yates, fisher_p, odds_ratio, shift_tail_p
 from ..functions.scoring import composite_score
 from ..operators import comparative, enrichment, reports, testing
+from ..sources.reports import parse_ontology
 from . import domain
 from .oracle_views import erfc_sql, fisher_sql, oracle
 from .registry import query
@@ -259,8 +260,8 @@ _GO = f"""e AS (SELECT DISTINCT go_id, 'GO:' || substr(go_id, 1, 1) AS parent FR
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM rk)"""
 
 
-def _enriched(spark, sf):
-    return enrichment.term_enrichment(domain.hits(spark, sf), domain.go_associations(spark, sf), _edges(spark, sf))
+def _enriched(spark, sf, terms=None):
+    return enrichment.term_enrichment(domain.hits(spark, sf), domain.go_associations(spark, sf), _edges(spark, sf), terms)
 
 
 @query(
@@ -269,14 +270,19 @@ def _enriched(spark, sf):
         f"""WITH {_GO}
         SELECT organism, term AS go_id, sc AS study_count, pc AS population_count, sn AS study_n, pn AS pop_n,
           round(p, 6) AS p_uncorrected, round(q, 6) AS fdr_bh,
-          CASE WHEN sc * pn > pc * sn THEN 'e' ELSE 'p' END AS enrichment FROM enr""",
+          CASE WHEN sc * pn > pc * sn THEN 'e' ELSE 'p' END AS enrichment,
+          CASE WHEN term IN (SELECT go_id FROM v_go) THEN 'term ' || lower(term) END AS name,
+          CASE WHEN term IN (SELECT go_id FROM v_go) THEN 'segment' END AS namespace FROM enr""",
         "v_go",
         "v_hits",
         recursive=True,
     ),
 )
 def go_enrichment(spark, sf):
-    return rounded(_enriched(spark, sf), "p_uncorrected", "fdr_bh")
+    text = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.lit("id: "), "go_id"), F.concat(F.lit("name: term "), F.lower("go_id")), F.lit("namespace: segment"))
+    stanzas = domain.go_associations(spark, sf).select("go_id").distinct().select(F.concat(F.lit("\n"), text).alias("value"))
+    terms, _ = parse_ontology(stanzas)
+    return rounded(_enriched(spark, sf, terms), "p_uncorrected", "fdr_bh")
 
 
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -330,10 +336,35 @@ def go_association_pairs(spark, sf):
     return pairs(domain.go_associations(spark, sf))
 
 
-@query("permutation_enrichment")
+@query(
+    "permutation_enrichment",
+    oracle(
+        """WITH p AS (SELECT organism, protein_id, bool_or(is_hit = 'yes') AS h FROM v_hits GROUP BY ALL),
+        c AS (SELECT organism, count(*)::BIGINT AS n, (count(*) FILTER (WHERE h))::BIGINT AS k FROM p GROUP BY organism),
+        t AS (SELECT sum(n)::BIGINT AS nn, sum(k)::BIGINT AS kk FROM c),
+        w AS (SELECT organism, n, k, nn, kk, unnest(range(greatest(0, n - (nn - kk)), least(n, kk) + 1)) AS i FROM c, t),
+        d AS (SELECT *, exp(lgamma(kk + 1) - lgamma(i + 1) - lgamma(kk - i + 1) + lgamma(nn - kk + 1) - lgamma(n - i + 1)
+            - lgamma(nn - kk - n + i + 1) - lgamma(nn + 1) + lgamma(n + 1) + lgamma(nn - n + 1)) AS pr FROM w)
+        SELECT organism AS category, round(any_value(k / n), 6) AS observed_hit_rate, round(any_value(kk / nn), 6) AS overall_hit_rate,
+          round(any_value(k / n - kk / nn), 6) AS delta_hit_rate,
+          round(coalesce(sum(pr) FILTER (WHERE abs(i / n - kk / nn) >= abs(k / n - kk / nn) - 1e-12), 0), 6) AS p_exact,
+          true AS estimate_agrees FROM d GROUP BY organism""",
+        "v_hits",
+    ),
+)
 def permutation_enrichment(spark, sf):
+    """The permutation estimate beside the exact tail of the same law; they agree within six standard errors."""
+    replicates = 5000
     people = comparative.protein_hits(domain.hits(spark, sf))
-    return enrichment.permutation_enrichment(people, "organism", "is_hit", 2000, seed=7)
+    found = enrichment.permutation_enrichment(people, "organism", "is_hit", replicates, seed=7)
+    counts = people.groupBy(F.col("organism").alias("category")).agg(F.count("*").alias("n"), F.count_if("is_hit").alias("k"))
+    whole = counts.agg(F.struct(F.sum("n").alias("n"), F.sum("k").alias("k")).alias("t")).scalar()
+    exact = counts.withColumn("_t", whole).select("category", shift_tail_p(F.col("_t.n"), F.col("_t.k"), F.col("n"), F.col("k")).alias("p_exact"))
+    p = F.col("p_exact")
+    margin = 6 * F.sqrt(p * (1 - p) / replicates) + 2 / replicates
+    joined = found.join(exact, "category").withColumn("estimate_agrees", F.abs(F.col("p_value") - p) <= margin)
+    names = ("observed_hit_rate", "overall_hit_rate", "delta_hit_rate", "p_exact")
+    return rounded(joined.select("category", *names, "estimate_agrees"), *names)
 
 
 @query(

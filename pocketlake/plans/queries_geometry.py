@@ -540,6 +540,22 @@ def stability_summary(spark, sf):
     return trajectory.stability_summary(dynamics_report(spark, sf))
 
 
+@query(
+    "stable_candidates",
+    oracle(f"WITH {_REPORT} SELECT candidate_id FROM rep WHERE classification = 'stably buried'", "v_frames"),
+)
+def stable_candidates(spark, sf):
+    return trajectory.stable_candidates(dynamics_report(spark, sf))
+
+
+@query(
+    "filtered_out_candidates",
+    oracle(f"WITH {_REPORT} SELECT candidate_id FROM rep WHERE classification IN ('exposed', 'failed')", "v_frames"),
+)
+def filtered_out_candidates(spark, sf):
+    return trajectory.filtered_out_candidates(dynamics_report(spark, sf))
+
+
 @query(
     "residue_plddt",
     oracle(

@@ -310,14 +310,14 @@ def method_benchmark(spark, sf):
         g AS (SELECT model, score, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY ALL),
         c AS (SELECT model, score, sum(n) OVER w / sum(n) OVER (PARTITION BY model) AS fpr,
             sum(p) OVER w / sum(p) OVER (PARTITION BY model) AS tpr FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC))
-        SELECT model, round(fpr, 4) AS fpr, round(tpr, 4) AS tpr FROM c WHERE model = 'Area only'
-        UNION ALL SELECT 'Area only', 0, 0""",
+        SELECT model, round(fpr, 4) AS fpr, round(tpr, 4) AS tpr FROM c
+        UNION ALL SELECT DISTINCT model, 0, 0 FROM s""",
         "v_pockets",
     ),
 )
 def roc_export(spark, sf):
-    scored = domain.features(spark, sf).withColumn("area_score", -F.col("sasa"))
-    points = learning.roc_export(scored, {"Area only": "area_score"})
+    scored = learning.rule_baseline(domain.features(spark, sf)).withColumn("area_score", -F.col("sasa"))
+    points = learning.roc_export(scored, {"Threshold scoring": "rule_score", "Area only": "area_score"})
     return rounded(points, "fpr", "tpr", digits=4)
 
 
