@@ -47,6 +47,12 @@ HEADLINE = (
     "resume_anti",
     "stream_screen",
     "rule_baseline",
+    "permutation_enrichment",
+    "bootstrap_areas",
+    "forest_scores",
+    "trajectory_area",
+    "dynamics_report",
+    "analyse_all_pockets",
 )
 
 

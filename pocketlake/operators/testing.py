@@ -43,16 +43,19 @@ def benjamini_hochberg(
         p, F.when(bad, F.raise_error(F.lit("p-value outside [0, 1]")).cast("double")).otherwise(value)
     )
     groups = checked.where(F.col(p).isNotNull()).groupBy(*partition, p).agg(F.count("*").alias("_n"))
-    ranked = accumulate(spread(groups, [F.col(p)], partition), [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
-    sizes = ranked.groupBy(*partition).agg(F.max("_rank").alias("_m"))
+    ranges = spread(groups, [F.col(p)], partition)
+    ranked = accumulate(ranges, [F.col(p)], {"_rank": ("sum", F.col("_n"))}, partition)
+    sizes = ranges.groupBy(*partition).agg(F.sum("_n").alias("_m"))
     if partition:
         sized = join_groups(ranked, sizes, list(partition))
     else:
         sized = ranked.withColumn("_m", sizes.select("_m").scalar())
-    scaled = sized.withColumn("_raw", F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0)))
-    adjusted = accumulate(scaled, [F.desc(p)], {q_name: ("min", F.col("_raw"))}, partition, backwards=True)
     passing = F.when(F.col(p) <= F.col("_rank") / F.col("_m") * alpha, F.col(p))
-    cut = adjusted.groupBy(*partition).agg(F.max(passing).alias("_cut"))
+    raw = F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0))
+    # Ranks are read three times from here on.
+    scaled = freeze(sized.select(*partition, p, "_range", raw.alias("_raw"), passing.alias("_passing")))
+    adjusted = accumulate(scaled, [F.desc(p)], {q_name: ("min", F.col("_raw"))}, partition, backwards=True)
+    cut = scaled.groupBy(*partition).agg(F.max("_passing").alias("_cut"))
     if partition:
         decided = join_groups(adjusted, cut, list(partition))
     else:

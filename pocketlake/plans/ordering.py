@@ -57,8 +57,13 @@ def accumulate(
     local = ranges.select(
         "*", *[_AGGREGATES[kind](expr).over(within).alias(f"_l_{name}") for name, (kind, expr) in values.items()]
     )
-    # One row per (group, range): at most groups + ranges rows.
-    totals = ranges.groupBy(*partition, "_range").agg(
+    # Only a range's first group can have rows in the ranges before, so only such groups carry anything over:
+    # at most two rows per range partition, however many groups there are.
+    carried = ranges
+    if partition:
+        firsts = ranges.groupBy("_range").agg(F.min(F.struct(*partition)).alias("_first")).select("_first.*").distinct()
+        carried = join_groups(ranges, F.broadcast(firsts), partition, "left_semi")
+    totals = carried.groupBy(*partition, "_range").agg(
         *[_AGGREGATES[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in values.items()]
     )
     number = F.desc("_range") if backwards else F.asc("_range")
@@ -68,11 +73,7 @@ def accumulate(
         "_range",
         *[_AGGREGATES[kind](f"_t_{name}").over(earlier).alias(f"_b_{name}") for name, (kind, _) in values.items()],
     )
-    if partition:
-        joined = join_groups(local, before, [*partition, "_range"], "left")
-    else:
-        # One row per range partition, so its size is the number of shuffle partitions.
-        joined = local.join(F.broadcast(before), "_range", "left")
+    joined = join_groups(local, F.broadcast(before), [*partition, "_range"], "left")
     return joined.select(
         *ranges.columns,
         *[
