@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import is_absent
 from .scoring import composite_score, model_class, rule_class
 
 
@@ -45,15 +47,21 @@ class ModelScorer:
 
 
 def scorer_from_path(path: str | None) -> Scorer:
-    """The model stored at ``path``, or the rule scorer when there is none that loads."""
+    """The model stored at ``path``, or the rule scorer when nothing is stored there.
+
+    A model that is there but cannot be read raises: scores must not change silently.
+    """
     if path is None:
         return RuleScorer()
     from ..operators.learning import load_model
 
     try:
-        return ModelScorer(load_model(path))
-    except Exception:
+        SparkSession.active().read.text(path)
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return RuleScorer()
+    return ModelScorer(load_model(path))
 
 
 def per_item(

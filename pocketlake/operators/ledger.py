@@ -12,10 +12,11 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import freeze, is_absent
 from ..schemas import LEDGER
 
 KEY = ("uniprot_id", "pipeline_version", "params_hash")
@@ -93,7 +94,7 @@ class Ledger:
         try:
             return self.spark.read.schema(COMMITS).json(self.log).collect()
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if not is_absent(error):
                 raise
             return []
 
@@ -138,11 +139,12 @@ class Ledger:
 
     def upsert(self, rows: DataFrame) -> int:
         """Append a batch; within it the last row of a key wins. Returns the number of rows handed in."""
-        batch, handed_in = uuid.uuid4().hex, Observation()
-        columns = [F.col(f.name).cast(f.dataType) for f in LEDGER.fields]
-        self._write(latest_wins(rows.select(*columns).observe(handed_in, F.count(F.lit(1)).alias("n"))), batch)
-        count = handed_in.get["n"]
+        batch = uuid.uuid4().hex
+        # The batch may be dear to compute: it is frozen, counted and written from the copy.
+        handed_in = freeze(rows.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER.fields]))
+        count = handed_in.count()
         if count:
+            self._write(latest_wins(handed_in), batch)
             self._commit("add", batch)
         return count
 

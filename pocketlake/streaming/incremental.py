@@ -7,19 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import composite_score
 from ..operators.filters import by_criteria, by_score, top_per_group
+from ..runtime import is_absent
 
 
-def read_new_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    """File stream with an explicit schema; a bounded number of files makes one micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 1000).parquet(folder)
-    )
+def read_new_files(
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """File stream with an explicit schema; ``files_per_batch`` paces the micro-batches and leaves nothing out."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def screen(pockets: DataFrame, min_score: float = 0.60) -> DataFrame:
@@ -37,11 +40,13 @@ def write_once(id_cols: list[str], sink: str) -> Callable[[DataFrame, int], None
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(id_cols)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            seen = spark.read.option("basePath", sink).schema(
-                T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-            ).parquet(sink)
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        try:
+            seen = spark.read.option("basePath", sink).schema(stored).parquet(sink)
+        except AnalysisException as error:
+            if not is_absent(error):
+                raise
+        else:
             fresh = fresh.join(seen.where(F.col("batch") != number).select(*id_cols), id_cols, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
