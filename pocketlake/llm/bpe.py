@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import BYTE_BPE, map_rows
 
 #: Fragments that each of the two generations of a cache keeps at most, and the longest that it keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 CACHE_BYTES = 48
 #: Marks that often end a word.
 ENDINGS = ".,;:!?"
