@@ -31,6 +31,8 @@ ROUNDS = 25
 SITE_WEIGHT = 0.5
 #: Quality from which a document is kept.
 KEEP = 0.4
+#: Sites up to which their table is sent to every task; larger ones are joined by a shuffle.
+SITES_SENT_WHOLE = 100_000
 #: Strength of a prior is held between these numbers of documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -150,7 +152,13 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, Prior]:
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     path_strength = float(strength(paths, F.col("host_posterior")).first()[0] or STRONGEST)
     posterior = (F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)
-    return paths.select("host", "path", "host_posterior", posterior.alias("path_posterior")), Prior(mean, host_strength, path_strength)
+    sites = freeze(paths.select("host", "path", "host_posterior", posterior.alias("path_posterior")))
+    return sites, Prior(mean, host_strength, path_strength)
+
+
+def with_site(rows: DataFrame, sites: DataFrame, size: int, on: Column) -> DataFrame:
+    """Rows with their site: without a shuffle of the rows if there are few sites."""
+    return rows.join(F.broadcast(sites) if size <= SITES_SENT_WHOLE else sites, on)
 
 
 def log_odds(p: Column) -> Column:
@@ -182,10 +190,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key), F.col(host).alias("host"), F.col(path).alias("path"), evidence_column(classifier, text).alias("p"))
     rows = freeze(rows)
     sites, prior = site_posteriors(rows)
+    size = sites.count()
     sites = sites.withColumnsRenamed({"host": "_host", "path": "_path"})
     on = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     quality = joined_quality(F.col("p"), F.col("path_posterior"), prior.mean)
-    found = rows.join(sites, on).withColumn("quality", quality)
+    found = with_site(rows, sites, size, on).withColumn("quality", quality)
     return found.select(key, "host", "path", F.col("p").alias("p_document"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= KEEP).alias("kept"))
 
 
@@ -194,10 +203,11 @@ def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     classifier = learn(docs, labels, key, text, label)
     evidence = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), evidence_column(classifier, text).alias("p"))
     sites, prior = site_posteriors(evidence)
+    size = sites.count()
     shift = SITE_WEIGHT * (log_odds(F.col("path_posterior")) - log_odds(F.lit(prior.mean)))
     p, own_host, own_path, own_shift = (fresh(docs, n) for n in ("p", "host", "path", "shift"))
     sites = sites.select(F.col("host").alias(own_host), F.col("path").alias(own_path), shift.alias(own_shift))
     on = docs[host].eqNullSafe(F.col(own_host)) & docs[path].eqNullSafe(F.col(own_path))
-    scored = docs.withColumn(p, evidence_column(classifier, text)).join(sites, on)
+    scored = with_site(docs.withColumn(p, evidence_column(classifier, text)), sites, size, on)
     quality = 1 / (1 + F.exp(-(log_odds(F.col(p)) + F.col(own_shift))))
     return scored.filter(quality >= KEEP).select(*docs.columns)
