@@ -63,14 +63,15 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     low = F.lit(False)
     for code, n in counts.items():
         low = low | ((F.col("lang") == code) & low_hash("key", DOCUMENTS_PER_LANGUAGE, n))
-    keys = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter(low)
+    keys = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter(low).distinct()
     keys = keys.withColumn("nth", F.row_number().over(order))
     keys = keys.filter(F.col("nth") <= DOCUMENTS_PER_LANGUAGE).select(F.col("key").alias("_k"), F.col("lang").alias("_l"), "nth")
     # At most DOCUMENTS_PER_LANGUAGE rows per language are sent to the tasks, and as many pieces of text come back.
     labelled = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), middle(F.col(text)).alias("body"))
     chosen = labelled.join(F.broadcast(keys), (F.col("_key") == F.col("_k")) & (F.col("_lang") == F.col("_l")))
     bodies: dict[str, list[tuple[int, bytes]]] = {}
-    for row in chosen.select("_lang", "nth", "body").collect():
+    # Of repeated keys one text counts.
+    for row in chosen.groupBy("_lang", "nth").agg(F.min("body").alias("body")).collect():
         bodies.setdefault(row[0], []).append((row[1], letters(bytes(row[2]))))
     languages = sorted(bodies, key=lambda x: (-counts[x], x))
     # What stands last in a dictionary is cheapest to refer to.

@@ -98,7 +98,9 @@ def bounded_labels(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     first = known.filter(low_hash("_key", rows, known.count())).orderBy(F.xxhash64("_key"), "_key").limit(rows)
     found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
     found = found.join(F.broadcast(first), F.col("_doc") == F.col("_key"))
-    # At most `rows` keys, so one task may add up their lengths.
+    # Of repeated keys one text counts, so there are at most `rows` of them.
+    found = found.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    # One task may add up the lengths of so few.
     order = Window.orderBy(F.xxhash64("_key"), "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
     sized = found.withColumn("_size", F.length("_text"))
     fits = sized.select("_key", "_size").withColumn("_sum", F.sum("_size").over(order)).filter(F.col("_sum") <= chars).select("_key").distinct()
