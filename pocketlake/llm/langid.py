@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, low_hash, map_rows
+from .shared import each_body, held_out, low_hash, map_rows
 
 #: Labelled documents taken for one language at most, and the bytes of its dictionary.
 DOCUMENTS_PER_LANGUAGE = 400
@@ -148,7 +148,7 @@ def accepted_rows(docs: DataFrame, model: LanguageModel, text: str = "text") ->
     @F.arrow_udf(T.BooleanType())
     def settled(bodies: pa.Array) -> pa.Array:
         judge = Judge(shared.value)
-        answers = (judge(b) for b in bodies.to_pylist())
+        answers = (judge(b) for b in each_body(bodies))
         return pa.array([lang != UNKNOWN and margin >= NARROW for lang, _, margin in answers], pa.bool_())
 
     return docs.filter(settled(F.col(text).cast("binary")))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pocketlake.runtime import freeze
 
 from . import textstats
-from .shared import fresh, low_hash, map_rows
+from .shared import each_body, fresh, low_hash, map_rows
 
 #: Labelled documents that the classifier is fitted on at most.
 LABELLED = 8_000
@@ -176,7 +176,7 @@ def joined_quality(p: Column, path_posterior: Column, mean: float) -> Column:
 def evidence_column(classifier: Classifier, text: str) -> Column:
     @F.arrow_udf(T.DoubleType())
     def of(bodies: pa.Array) -> pa.Array:
-        return pa.array([classifier(b) for b in bodies.to_pylist()], pa.float64())
+        return pa.array([classifier(b) for b in each_body(bodies)], pa.float64())
 
     return of(F.col(text).cast("binary"))
 

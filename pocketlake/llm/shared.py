@@ -52,6 +52,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def each_body(bodies: pa.Array) -> Iterator[bytes | None]:
+    """The values of an Arrow array, of which only a slice is held as Python objects at a time."""
+    for at in range(0, len(bodies), 500):
+        yield from bodies.slice(at, 500).to_pylist()
+
+
 def map_rows(
     df: DataFrame, keys: list[str], body: str, extra: list[T.StructField], make: Callable[[], Callable[[bytes], tuple]]
 ) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pocketlake.runtime import freeze
 
-from .shared import fresh, low_hash
+from .shared import each_body, fresh, low_hash
 
 WORDS = 3
 DISTANCE = 2
@@ -68,7 +68,7 @@ def fingerprint_column(text: str, words: int = WORDS) -> Column:
 
     @F.arrow_udf(T.LongType())
     def of(bodies: pa.Array) -> pa.Array:
-        made = np.array([fingerprint(b, words) for b in bodies.to_pylist()], np.uint64)
+        made = np.array([fingerprint(b, words) for b in each_body(bodies)], np.uint64)
         return pa.array(made.view(np.int64))
 
     return of(F.col(text).cast("binary"))
