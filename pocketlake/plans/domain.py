@@ -179,15 +179,14 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pKa rows; every eighth residue has none."""
+    """pKa rows; every eighth is of a residue that is in no site, so the site's own residue has none."""
     return (
         table(spark, sf_dir, "part")
-        .where("p_partkey % 8 != 0")
         .select(
             F.element_at(
                 F.array(F.lit("ARG"), F.lit("LYS"), F.lit("HIS")), (F.col("p_partkey") % 3 + 1).cast("int")
             ).alias("residue_name"),
-            F.col("p_partkey").alias("residue_number"),
+            F.when(F.col("p_partkey") % 8 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("residue_number"),
             F.lit("A").alias("chain_id"),
             (6 + F.col("p_size") / 10.0).alias("pka"),
         )

@@ -158,9 +158,10 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_pka": (
         (),
-        """SELECT ['ARG', 'LYS', 'HIS'][p_partkey % 3 + 1] AS residue_name, p_partkey AS residue_number,
+        """SELECT ['ARG', 'LYS', 'HIS'][p_partkey % 3 + 1] AS residue_name,
+                  CASE WHEN p_partkey % 8 = 0 THEN -p_partkey ELSE p_partkey END AS residue_number,
                   'A' AS chain_id, 6 + p_size / 10.0::DOUBLE AS pka
-           FROM part WHERE p_partkey % 8 != 0""",
+           FROM part""",
     ),
     "v_sites": (
         (),

@@ -275,7 +275,8 @@ def pocket_labels(spark, sf):
 
 
 # One potential map per region key: the value is a polynomial over 9×9×9 grid nodes.
-_GRID_SQL = """h AS (SELECT n_nationkey AS map_id, 9 AS n, -4.0::DOUBLE AS o, 1.0::DOUBLE AS d FROM nation WHERE n_nationkey % 5 != 4),
+_GRID_SQL = """h AS (SELECT CASE WHEN n_nationkey % 5 = 4 THEN -1 - n_nationkey ELSE n_nationkey END AS map_id, 9 AS n, -4.0::DOUBLE AS o,
+    1.0::DOUBLE AS d FROM nation),
   v AS (SELECT map_id, ix, iy, iz, (1 + 0.5 * ix - 0.25 * iy + 0.125 * iz + 0.01 * ix * iy * iz + map_id)::DOUBLE AS value
     FROM h, range(9) a(ix), range(9) b(iy), range(9) c(iz)),
   p AS (SELECT vec_id, vec_id % 25 AS map_id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y,
@@ -285,7 +286,9 @@ _GRID_SQL = """h AS (SELECT n_nationkey AS map_id, 9 AS n, -4.0::DOUBLE AS o, 1.
 
 
 def _maps(spark, sf):
-    maps = domain.table(spark, sf, "nation").where("n_nationkey % 5 != 4").select(F.col("n_nationkey").alias("map_id"))
+    # Every fifth map belongs to no point, so the points of that key have none.
+    map_id = F.expr("CASE WHEN n_nationkey % 5 = 4 THEN -1 - n_nationkey ELSE n_nationkey END")
+    maps = domain.table(spark, sf, "nation").select(map_id.alias("map_id"))
     headers = maps.select(
         "map_id",
         *[F.lit(9).alias(f"n{a}") for a in "xyz"],
