@@ -37,21 +37,23 @@ QUERIES_PER_TASK = 200_000
 SMALL = 96
 
 
-def fingerprint(body: bytes | None, words: int = WORDS) -> int:
-    """Majority bits of the XXH64 (seed 42) of the word shingles, as an unsigned number; 0 without words."""
+def shingle_hashes(body: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles in order; of all words if there are not more than ``words``; none without words."""
     tokens = (body or b"").lower().split()
-    if not tokens:
-        return 0
     text = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(text, 42)
+        return np.array([xxhash.xxh64_intdigest(text, 42)] if tokens else [], np.uint64)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(text[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64)
-    return majority(hashes)
+    return np.array([hash_of(text[i:j], 42) for i, j in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(body: bytes | None, words: int = WORDS) -> int:
+    """Majority bits of the hashes of the word shingles, as an unsigned number; 0 without words."""
+    return majority(shingle_hashes(body, words))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -291,6 +293,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """
     marked = freeze(docs.select(F.col(key).alias("_key"), fingerprint_column(text, words).alias("fp")))
     labels = fingerprint_components(marked, distance)
+    return keep_least(docs, key, fingerprint_column(text, words), marked, labels)
+
+
+def keep_least(docs: DataFrame, key: str, node: Column, marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row for each component; ``marked`` has (_key, fp) of each row, fp being what ``node`` gives for it."""
     nodes = marked.groupBy("fp", "_key").agg(F.lit(1).alias("_n")).join(labels, "fp", "left")
     nodes = nodes.withColumn("label", F.coalesce("label", "fp"))
     # The least key, and of its texts in the component the least fingerprint: a row per component that a task has summed up before it is sent.
@@ -299,7 +306,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     # A null key gets a name of its own, so that an ordinary equality joins it.
     named = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
     chosen = best.select(F.col("best.fp").alias(fp), F.col("best._key").alias(key)).select(fp, named.alias(name), F.lit(True).alias(mine))
-    tagged = docs.withColumns({fp: fingerprint_column(text, words), name: named})
+    tagged = docs.withColumns({fp: node, name: named})
     kept = tagged.join(chosen, [fp, name])
     # Repeated rows: the join has put them side by side already.
     order = Window.partitionBy(fp, name).orderBy(fp)
