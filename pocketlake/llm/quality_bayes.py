@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from .shared import each_body, fresh, low_hash, map_rows
 
 #: Labelled documents that the classifier is fitted on at most.
 LABELLED = 8_000
-#: Labelled characters that it is fitted on at most.
+#: Labelled characters that it is fitted on at most; beyond that the longest texts give their beginnings only.
 LABELLED_CHARS = 48_000_000
 RIDGE = 1.0
 ROUNDS = 25
@@ -91,8 +91,23 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Classifier:
     return Classifier(center, scale, w)
 
 
+def even_share(sizes: list[int], chars: int) -> int:
+    """The most characters that every text may give so that all together give at most ``chars``; texts below it stay whole."""
+    left = chars
+    for n, size in enumerate(sorted(sizes)):
+        even = left // (len(sizes) - n)
+        if size > even:
+            return even
+        left -= size
+    return max(sizes, default=0)
+
+
 def bounded_labels(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
-    """(key, label, body) of at most ``rows`` labelled documents and ``chars`` characters, in the order of a hash of the key."""
+    """(key, label, body) of at most ``rows`` labelled documents, the first in the order of a hash of the key.
+
+    No document is left out for its length: where they have more than ``chars`` characters in all, the longest ones give
+    their first characters only, each as many as fit, which is never less than ``chars / rows``.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_label"))
     known = freeze(known)
     first = known.filter(low_hash("_key", rows, known.count())).orderBy(F.xxhash64("_key"), "_key").limit(rows)
@@ -100,12 +115,8 @@ def bounded_labels(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     found = found.join(F.broadcast(first), F.col("_doc") == F.col("_key"))
     # Of repeated keys one text counts, so there are at most `rows` of them.
     found = found.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
-    # One task may add up the lengths of so few.
-    order = Window.orderBy(F.xxhash64("_key"), "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    sized = found.withColumn("_size", F.length("_text"))
-    fits = sized.select("_key", "_size").withColumn("_sum", F.sum("_size").over(order)).filter(F.col("_sum") <= chars).select("_key").distinct()
-    fits = freeze(fits)
-    return sized.join(F.broadcast(fits), "_key").select(F.col("_key").alias("key"), F.col("_label").alias("label"), F.col("_text").cast("binary").alias("body"))
+    share = even_share([r[0] for r in found.select(F.length("_text")).collect()], chars)
+    return found.select(F.col("_key").alias("key"), F.col("_label").alias("label"), F.substring("_text", 1, share).cast("binary").alias("body"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Classifier:
