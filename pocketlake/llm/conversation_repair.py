@@ -146,7 +146,7 @@ def damaged(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 def faults(rows: DataFrame) -> DataFrame:
     """Rows with their ``place`` in the conversation and their first ``fault``; dropped ones have neither. One exchange, by conversation."""
     seen = Window.partitionBy("conv", "dropped", "role", "text").orderBy(F.col("turn").asc_nulls_first())
-    order = Window.partitionBy("conv", "dropped").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv", "dropped").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "_seen")
     last = F.regexp_extract("text", rf"(?s)([^\x20\x09-\x0D]){SPACE}*\z", 1)
     fault = F.when(last == "", BLANK).when(F.col("_seen") > 1, DUPLICATE).when(~last.rlike(ENDS), CUT).otherwise(SOUND)
     rows = rows.repartition("conv").withColumn("_seen", F.row_number().over(seen)).withColumn("place", F.row_number().over(order).cast("long"))

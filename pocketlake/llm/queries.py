@@ -194,13 +194,12 @@ damaged AS (
 ),
 placed AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
            regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
     FROM damaged
 ),
 r AS (
     SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
-           CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(last, '[.!?]') THEN 't' ELSE 's' END AS fault,
+           CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(last, '[.!?]') THEN 't' ELSE 's' END AS fault,
            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS former
     FROM placed
 ),
