@@ -2,7 +2,8 @@
 
 A suffix is the text from some word on. A window that also starts in a document with a lesser key is a deep place of the suffix tree of
 all documents: an inner node at the depth of ``window`` words or more. No window asks for more depth, so suffixes are cut after
-``window`` words. In a tree a word is a symbol of eight bits; at the full depth a 64-bit hash of the whole words makes a node certain.
+``window`` words. In a tree each of the first eight words is a symbol of eight bits and branches; the edge from there to the full depth is a
+64-bit hash of all its words.
 
 Suffixes are split by prefixes of one to eight words, longer where there are more suffixes, so that each group fits a task's memory; a group
 builds its subtree by sorting and by the common prefixes of neighbours. A prefix of eight words that is still too frequent is split by
@@ -21,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import low_hash
+from .shared import each_body, low_hash
 
 WINDOW = 13
 #: Words of the sequences whose least hash stands for a window.
@@ -35,6 +37,8 @@ WORDS_AT_ONCE = 1_000_000
 SUFFIXES_PER_GROUP = 2_000_000
 #: Documents, and their suffixes at most, that show which prefixes are frequent. They decide where work is done, never what is found.
 PLAN_DOCUMENTS, PLAN_SUFFIXES = 2_000, 200_000
+#: First bytes of a compressed text; no UTF-8 text has the last two.
+FRAME = b"\x28\xb5\x2f\xfd"
 #: Stands for a null key: greater than all others.
 NO_KEY = (1 << 63) - 1
 _random = np.random.default_rng(12)
@@ -45,6 +49,22 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(key, body): texts compressed one by one, for their way through an exchange."""
+
+    @F.arrow_udf(T.BinaryType())
+    def pack(bodies: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([squeeze(b) for b in each_body(bodies)], pa.binary())
+
+    return docs.select("key", pack(F.col("text").cast("binary")).alias("body"))
+
+
+def opened(body: bytes) -> bytes:
+    """A text as it was before ``packed_texts``; text as such is left as it is, for its first bytes are never those of a frame."""
+    return zstandard.ZstdDecompressor().decompress(body) if body[:4] == FRAME else body
+
+
 def rolling(hashes: np.ndarray, words: int) -> np.ndarray:
     """A 64-bit hash of each sequence of ``words`` words."""
     n = max(0, len(hashes) - words + 1)
@@ -66,36 +86,27 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return least.view(np.int64)
 
 
-def symbols(hashes: np.ndarray, window: int) -> list[np.ndarray]:
-    """The words of each window as numbers of eight symbols each, first words in the highest bytes; filled with zeros."""
+def symbols(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The first words of each window, eight at most, as a number of eight symbols, the first word in the highest byte; filled with zeros."""
     codes, n = hashes >> np.uint64(56), max(0, len(hashes) - window + 1)
-    packed = []
-    for at in range(0, window, 8):
-        number = np.zeros(n, np.uint64)
-        for k in range(at, at + 8):
-            number <<= np.uint64(8)
-            if k < window:
-                number |= codes[k : k + n]
-        packed.append(number)
-    return packed
-
-
-def common_words(packed: list[np.ndarray]) -> np.ndarray:
-    """How many symbols each row but the first shares with the row before, from the front."""
-    shared = np.zeros(max(0, len(packed[0]) - 1), np.int64)
-    equal = np.ones(len(shared), bool)
-    for number in packed:
-        differ = number[1:] ^ number[:-1]
-        for k in range(8):
-            equal &= differ >> np.uint64(56 - 8 * k) & np.uint64(255) == 0
-            shared += equal
-    return shared
-
-
-def deep_nodes(packed: list[np.ndarray], certain: np.ndarray, window: int) -> np.ndarray:
+    number = np.zeros(n, np.uint64)
+    for k in range(8):
+        number <<= np.uint64(8)
+        if k < window:
+            number |= codes[k : k + n]
+    return number
+
+
+def common_words(front: np.ndarray) -> np.ndarray:
+    """How many symbols each number but the first shares with the one before, from the front."""
+    differ = front[1:] ^ front[:-1]
+    return np.sum([differ >> np.uint64(56 - 8 * k) == 0 for k in range(8)], axis=0)
+
+
+def deep_nodes(front: np.ndarray, edge: np.ndarray, window: int) -> np.ndarray:
     """The number of the place at depth ``window`` below which each of the sorted suffixes lies; places with several suffixes are inner nodes."""
-    deep = (common_words(packed) >= window) & (certain[1:] == certain[:-1])
-    return np.concatenate(([0], np.cumsum(~deep))) if len(certain) else np.zeros(0, np.int64)
+    deep = (common_words(front) >= min(window, 8)) & (edge[1:] == edge[:-1])
+    return np.concatenate(([0], np.cumsum(~deep))) if len(edge) else np.zeros(0, np.int64)
 
 
 def split(columns: list[np.ndarray], key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -145,7 +156,7 @@ def portions(batches: Iterator[pa.RecordBatch], of: Callable[..., tuple[np.ndarr
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             for key, body, *lists in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *part.columns[2:], strict=True):
-                made = of(body.split(), *(x.values.to_numpy() for x in lists))
+                made = of(opened(body).split(), *(x.values.to_numpy() for x in lists))
                 held.append((np.full(len(made[0]), key, np.int64), *made))
                 size += len(made[0])
                 if size >= WORDS_AT_ONCE:
@@ -184,22 +195,21 @@ class Plan:
         self.parts = np.maximum(1, np.ceil(np.array(weights) / limit - 0.5)).astype(np.int64)
         self.first = np.cumsum(self.parts) - self.parts
 
-    def group(self, front: np.ndarray, certain: np.ndarray) -> np.ndarray:
+    def group(self, front: np.ndarray, edge: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.starts, front, "right") - 1
-        return self.first[at] + (mixed(certain) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return self.first[at] + (mixed(edge) % self.parts[at].astype(np.uint64)).astype(np.int64)
 
 
-def marks(docs: DataFrame, window: int) -> DataFrame:
+def marks(docs: DataFrame, small: DataFrame, window: int) -> DataFrame:
     """(key, marks): for the documents with repeated passages, the hashes of the windows that also start in a document with a lesser key.
 
-    ``docs`` has (key, text) without nulls.
+    ``docs`` has (key, text) without nulls, ``small`` (key, body) with the texts compressed.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     words = size / 6
     shards = int(max(2 * tasks, words // SUFFIXES_PER_GROUP))
-    columns = [f"s{k}" for k in range(-(-window // 8))]
 
     # 1. Windows that may repeat.
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,34 +237,33 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     seen = found.groupBy("shard").applyInArrow(by_key, "key long, value array<long>")
 
     # 2. Groups of their suffixes by prefixes.
-    plan = plan_of(docs, rows, words, window, max(4 * tasks, int(words // SUFFIXES_PER_GROUP)))
+    plan = plan_of(docs, rows, words, window, shards)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(words: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, ...]:
             hashes = word_hashes(words)
             there = np.isin(anchors(hashes, window), wanted)
-            return (*(s[there] for s in symbols(hashes, window)), rolling(hashes, window)[there])
+            return symbols(hashes, window)[there], rolling(hashes, window)[there]
 
-        for key, *rest in portions(batches, of):
-            rest, key, node = split(rest, key)
+        for key, front, edge in portions(batches, of):
+            (front, edge), key, node = split([front, edge], key)
             first = np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1]))
-            yield packed_rows(mixed(key[~first]) % np.uint64(shards), {c: (rest[-1] if c == "certain" else key)[~first] for c in (*columns, "certain", "key")}, True)
-            kept = dict(zip((*columns, "certain", "key"), (*(r[first] for r in rest), key[first]), strict=True))
-            yield packed_rows(plan.group(rest[0][first], rest[-1][first]), kept, False)
+            for rows_, of_group, settled in ((~first, mixed(key[~first]) % np.uint64(shards), True), (first, plan.group(front[first], edge[first]), False)):
+                yield packed_rows(of_group, {"front": front[rows_] * np.uint64(not settled), "edge": edge[rows_], "key": key[rows_]}, settled)
 
     def subtree(table: pa.Table) -> pa.Table:
         settled = table.filter(table.column("settled"))
         rest = table.filter(pc.invert(table.column("settled")))
-        parts, key, _ = split([flat(rest, c).view(np.uint64) for c in (*columns, "certain")], flat(rest, "key"))
-        node = deep_nodes(parts[:-1], parts[-1], window)
+        (front, edge), key, _ = split([flat(rest, c).view(np.uint64) for c in ("front", "edge")], flat(rest, "key"))
+        node = deep_nodes(front, edge, window)
         # Sorted by key within a node: all but the first stand in a document with a lesser key as well.
         later = np.concatenate((np.zeros(min(1, len(node)), bool), node[1:] == node[:-1]))
-        value = np.concatenate((flat(settled, "certain"), parts[-1][later].view(np.int64)))
+        value = np.concatenate((flat(settled, "edge"), edge[later].view(np.int64)))
         key = np.concatenate((flat(settled, "key"), key[later]))
         return pa.Table.from_batches([packed_rows(mixed(key) % np.uint64(shards), {"value": value, "key": key})])
 
-    lists = ", ".join(f"{c} array<long>" for c in (*columns, "certain", "key"))
-    chosen = docs.join(seen, "key").select("key", F.col("text").cast("binary").alias("text"), "value")
+    lists = "front array<long>, edge array<long>, key array<long>"
+    chosen = small.join(seen, "key").select("key", "body", "value")
     trees = chosen.mapInArrow(suffixes, f"shard int, settled boolean, {lists}").groupBy("shard").applyInArrow(subtree, "shard int, value array<long>, key array<long>")
     return trees.groupBy("shard").applyInArrow(by_key, "key long, value array<long>").withColumnRenamed("value", "marks")
 
@@ -275,7 +284,7 @@ def plan_of(docs: DataFrame, rows: int, words: float, window: int, groups: int)
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             hashes = word_hashes(words)
-            return symbols(hashes, window)[0], mixed(rolling(hashes, window))
+            return symbols(hashes, window), mixed(rolling(hashes, window))
 
         for _, front, number in portions(batches, of):
             yield pa.RecordBatch.from_arrays([pa.array(front[number < np.uint64(part * (1 << 31))].view(np.int64))], names=["front"])
@@ -305,9 +314,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kind = docs.schema[key].dataType
     if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise TypeError(f"{key} is not an integer column")
-    # Both joins read the same exchange of these two columns.
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = plain.join(marks(plain, window), "key", "left")
+    # Both joins with the texts read the same exchange.
+    small = packed_texts(plain)
+    joined = small.join(marks(plain, small, window), "key", "left")
     names = ["_n_words", "_kept", "_removed"]
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("key", T.LongType()), *(T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.StringType(), T.ArrayType(span)), strict=True))])
@@ -319,7 +329,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 batch = whole.slice(at, 500)
                 n_words, kept, removed = [], [], []
                 for body, marked in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    words = body.split()
+                    words = opened(body).split()
                     n_words.append(len(words))
                     if not marked.is_valid:
                         kept.append(b" ".join(words))
@@ -332,7 +342,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, spans)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", *names])
 
-    made = joined.select("key", F.col("text").cast("binary").alias("text"), "marks").mapInArrow(apply, schema)
+    made = joined.select("key", "body", "marks").mapInArrow(apply, schema)
     back = F.when(F.col("key") != NO_KEY, F.col("key")).cast(kind).alias(key)
     return made.select(back, *(F.col(n).alias(n.lstrip("_")) for n in names))
 
