@@ -1,8 +1,9 @@
 """Divergence audit of sources: how far the words of each source lie from those of the other sources of its language.
 
 The kept terms of all languages are sorted over ranges, and each range becomes a minimal acyclic transducer (``transducer``) whose
-ordinals are places in the order of (language, term). Texts are streamed through the transducers to recount their terms; all later
-tables hold ordinals, which also break ties, and only the terms that are reported are turned back into text.
+ordinals are places in the order of (language, term). Texts are streamed through the transducers to recount their terms. Counts lie in
+blocks of consecutive ordinals, a row for each block and source; ordinals also break ties, and only the terms that are reported are
+turned back into text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pocketlake.runtime import freeze
@@ -28,12 +29,13 @@ LEAST_DOCUMENTS = 3
 #: Ranks reported of a group's terms.
 TERM_RANKS = 200
 #: Terms that a task builds into a transducer, and that are sent to the tasks at once; the texts of a language are read once for each such portion.
-TERMS_AT_ONCE = 400_000
+TERMS_BUILT, TERMS_SENT = 400_000, 1_600_000
 #: Counts a task holds before it sends them on, and bytes of text it looks at together.
 COUNTS_HELD = 400_000
 BYTES_AT_ONCE = 4 << 20
 #: Terms and sources of a block of the comparison of all sources of a language.
 BLOCK_TERMS, BLOCK_SOURCES = 4096, 256
+COUNTS = "lang string, source string, block long, ords array<long>, counts array<long>"
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
@@ -72,13 +74,13 @@ class Vocabulary:
         kept = freeze(kept)
         count = kept.count()
         # Frozen: ordinals need the same ranges whenever they are read.
-        self.ranges = freeze(kept.repartitionByRange(max(1, -(-count // TERMS_AT_ONCE)), "lang", "term").sortWithinPartitions("lang", "term"))
+        self.ranges = freeze(kept.repartitionByRange(max(1, -(-count // TERMS_BUILT)), "lang", "term").sortWithinPartitions("lang", "term"))
         self.parts = freeze(self.ranges.mapInArrow(build, "part int, n long, low string, high string, body binary"))
-        rows = self.parts.select("part", "n", "low", "high").orderBy("part").collect()  # a row for each TERMS_AT_ONCE terms
+        rows = self.parts.select("part", "n", "low", "high").orderBy("part").collect()  # a row for each TERMS_BUILT terms
         self.bases = dict(zip((r.part for r in rows), np.cumsum([0, *(r.n for r in rows)]).tolist(), strict=False))
         self.portions: list[list] = []
         for row in rows:
-            if not self.portions or sum(r.n for r in self.portions[-1]) + row.n > TERMS_AT_ONCE:
+            if not self.portions or sum(r.n for r in self.portions[-1]) + row.n > TERMS_SENT:
                 self.portions.append([])
             self.portions[-1].append(row)
 
@@ -96,17 +98,17 @@ class Vocabulary:
         return self.ranges.mapInArrow(number, "lang string, ord long, term binary").withColumn("term", F.col("term").cast("string"))
 
     def recount(self, docs: DataFrame) -> DataFrame:
-        """(lang, source, ord, n): occurrences of kept terms in the texts of each group that has any."""
+        """(lang, source, block, ords, counts): occurrences of kept terms in the texts of each group, in rows of a task, for blocks that have any."""
         spark, counted = docs.sparkSession, None
         for rows in self.portions:
             held = self.parts.filter(F.col("part").between(rows[0].part, rows[-1].part)).select("part", "body").collect()
             sent = spark.sparkContext.broadcast([(self.bases[r.part], bytes(r.body)) for r in sorted(held)])
             texts = docs.filter(F.col("lang").between(rows[0].low, rows[-1].high)).select("lang", "source", F.col("text").cast("binary"))
-            portion = texts.mapInArrow(streamed(sent), "lang string, source string, ord long, n long")
+            portion = texts.mapInArrow(streamed(sent), COUNTS)
             counted = portion if counted is None else counted.unionByName(portion)
         if counted is None:
-            return spark.createDataFrame([], "lang string, source string, ord long, n long")
-        return counted.groupBy("lang", "source", "ord").agg(F.sum("n").alias("n"))
+            return spark.createDataFrame([], COUNTS)
+        return counted
 
 
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +133,13 @@ def streamed(sent):
 
         def batch() -> pa.RecordBatch:
             group, ordinal, n = map(np.concatenate, zip(*held, strict=True))
-            order = np.lexsort((ordinal, group))
-            group, ordinal, n = group[order], ordinal[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (ordinal[1:] != ordinal[:-1]))))
-            names = list(groups)
-            at = group[first]
-            columns = [pa.array([names[g][k] for g in at], pa.string()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(ordinal[first]), pa.array(np.add.reduceat(n, first))], names=["lang", "source", "ord", "n"])
+            (group, ordinal), n = summed([group, ordinal], n)
+            names, (block, of) = list(groups), (ordinal // BLOCK_TERMS, group)
+            first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
+            cuts = pa.array(np.append(first, len(n)), pa.int32())
+            columns = [pa.array([names[g][k] for g in of[first]], pa.string()) for k in (0, 1)]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in (ordinal, n)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(block[first]), *lists], names=["lang", "source", "block", "ords", "counts"])
 
         for whole in batches:
             for part in slices(whole):
@@ -180,14 +182,41 @@ def buffers(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / (total + terms)), exact at any count."""
-    scaled = (n + 1).cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)")
-    return (F.call_function("div", scaled, (total + terms).cast("decimal(20,0)")) + 1).cast("long")
+def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys in order with the sum of each."""
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.add.reduceat(n, first) if len(first) else n
 
 
-def distance(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each source of a block, out of the rows of the tasks; one batch is held at a time besides the sums."""
+    of: dict[str, int] = {}
+    sums = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        source, ords, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("source", "ords", "counts"))
+        each = np.array([of.setdefault(x, len(of)) for x in source.to_pylist()], np.int64).repeat(np.diff(ords.offsets.to_numpy()))
+        parts = (each, ords.flatten().to_numpy(), counts.flatten().to_numpy())
+        (one, two), n = summed([np.concatenate((a, b)) for a, b in zip(sums[:2], parts[:2], strict=True)], np.concatenate((sums[2], parts[2])))
+        sums = [one, two, n]
+    first = np.flatnonzero(np.diff(sums[0], prepend=-1))
+    cuts, names = pa.array(np.append(first, len(sums[0])), pa.int32()), list(of)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()] * len(first), pa.string()), pa.array([names[k] for k in sums[0][first]], pa.string()), pa.array([key[1].as_py()] * len(first), pa.int64()),
+         pa.ListArray.from_arrays(cuts, pa.array(sums[1])), pa.ListArray.from_arrays(cuts, pa.array(sums[2]))], names=["lang", "source", "block", "ords", "counts"],
+    )
+
+
+def shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
+    """1 + floor(10^9 (n + 1) / (total + terms)) of each count n, exact at any count."""
+    if not len(counts) or int(counts.max()) < 9_000_000_000:
+        return 1 + 1_000_000_000 * (counts + 1) // (total + terms)
+    return np.array([1 + 1_000_000_000 * (n + 1) // (total + terms) for n in counts.tolist()], np.int64)
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS) -> DataFrame:
@@ -202,13 +231,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     docs = cleaned(docs, text, lang, source)
     vocabulary = Vocabulary(kept_terms(docs, least))
-    counts = freeze(vocabulary.recount(docs))
+    groups = freeze(docs.select("lang", "source").distinct())
+    # Blocks of sources: their number is that of the language with the most.
+    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    tile = F.pmod(F.xxhash64("source"), F.lit(-(-most // BLOCK_SOURCES))).cast("int").alias("tile")
+    parts = vocabulary.recount(docs)
+    counts = freeze(parts.groupBy("lang", "block", tile).applyInArrow(merged, COUNTS))
     ordinals = vocabulary.ordinals()
     terms = ordinals.groupBy("lang").agg(F.count("*").alias("terms"), F.min("ord").alias("low"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0, ["total", "terms", "low"])
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    totals = counts.groupBy("lang", "source").agg(F.sum(n).alias("total"))
+    groups = groups.select("lang", "source", tile).join(totals, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0, ["total", "terms", "low"])
     groups = freeze(groups)
-    return term_part(counts, groups, ordinals, ranks).unionByName(pair_part(counts, groups))
+    return term_part(counts, groups, ordinals, ranks).unionByName(pair_part(counts, groups, -(-most // BLOCK_SOURCES)))
 
 
 def ranked(rows: DataFrame, tie: str, least: int | None = None) -> DataFrame:
@@ -218,62 +253,73 @@ def ranked(rows: DataFrame, tie: str, least: int | None = None) -> DataFrame:
 
 
 def term_part(counts: DataFrame, groups: DataFrame, ordinals: DataFrame, ranks: int) -> DataFrame:
-    whole = counts.groupBy("lang", "ord").agg(F.sum("n").alias("all_n"))
+    """The terms with the greatest distances: those of each block first, then of all blocks."""
+    whole = counts.select("lang", F.lit("").alias("source"), "block", "ords", "counts").groupBy("lang", "block").applyInArrow(merged, COUNTS)
+    whole = whole.select("lang", "block", F.col("ords").alias("all_ords"), F.col("counts").alias("all_counts"))
     in_all = groups.groupBy("lang").agg(F.sum("total").alias("all_total"))
-    rows = counts.join(groups, ["lang", "source"]).join(whole, ["lang", "ord"]).join(in_all, "lang")
-    rows = rows.withColumns({"p": share(F.col("n"), F.col("total"), F.col("terms")), "q": share(F.col("all_n"), F.col("all_total"), F.col("terms"))})
-    rows = rows.filter("p > q").select("lang", "source", "ord", distance(F.col("p"), F.col("q")).alias("value"))
-    named = ranked(rows, "ord", ranks).join(ordinals, ["lang", "ord"])
+    rows = counts.join(groups.select("lang", "source", "total", "terms"), ["lang", "source"]).join(in_all, "lang").join(whole, ["lang", "block"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, sources, totals, terms, all_totals = (c.to_pylist() for c in batch.columns[:5])
+            made = []
+            for k in range(batch.num_rows):
+                ords, counted, all_ords, all_counted = (c[k].values.to_numpy() for c in batch.columns[5:])
+                p = shares(counted, totals[k], terms[k])
+                q = shares(all_counted[np.searchsorted(all_ords, ords)], all_totals[k], terms[k])
+                more = p > q
+                p, q, ords = p[more], q[more], ords[more]
+                value = (p - q) * (p - q) // q
+                order = np.lexsort((ords, -value))[:ranks]
+                made.append((np.full(len(order), k), ords[order], value[order]))
+            at, ords, values = map(np.concatenate, zip(*made, strict=True))
+            names = [pa.array([x[k] for k in at], pa.string()) for x in (langs, sources)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(ords), pa.array(values)], names=["lang", "source", "ord", "value"])
+
+    chosen = rows.select("lang", "source", "total", "terms", "all_total", "ords", "counts", "all_ords", "all_counts")
+    named = ranked(chosen.mapInArrow(best, "lang string, source string, ord long, value long"), "ord", ranks).join(ordinals, ["lang", "ord"])
     return named.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
-def pair_part(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_part(counts: DataFrame, groups: DataFrame, tiles: int) -> DataFrame:
     """Blocks of terms by blocks of sources: each task compares the sources of two blocks over the terms of one."""
-    tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK_SOURCES).cast("int").alias("tiles"))
-    groups = groups.join(tiles, "lang").withColumns({
-        "tile": F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"),
-        "blocks": F.greatest(F.lit(1), F.ceil(F.col("terms") / BLOCK_TERMS)).cast("int"),
-        "rest": F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.greatest(F.col("terms"), F.lit(1)))).otherwise(1),
-    })
-    per_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    size = F.least(F.lit(BLOCK_TERMS), F.col("terms") - F.col("block") * BLOCK_TERMS).cast("int")
-    heads_ = groups.withColumn("block", per_block).select("lang", "block", "tile", "tiles", "source", size.alias("at"), F.col("rest").alias("p"), F.lit(True).alias("head"))
-    local = F.col("ord") - F.col("low")
-    cells = counts.join(groups, ["lang", "source"]).select(
-        "lang", F.floor(local / BLOCK_TERMS).cast("int").alias("block"), "tile", "tiles", "source",
-        (local % BLOCK_TERMS).cast("int").alias("at"), share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), F.lit(False).alias("head"),
-    )
-    rows = heads_.unionByName(cells).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sides = rows.select("lang", "block", F.col("tile").alias("one"), F.col("other").alias("two"), F.lit(True).alias("left"), "source", "at", "p", "head")
-    sides = sides.unionByName(rows.select("lang", "block", F.col("other").alias("one"), F.col("tile").alias("two"), F.lit(False).alias("left"), "source", "at", "p", "head"))
-    summed = sides.groupBy("lang", "block", "one", "two").applyInArrow(compare, "lang string, source string, item string, value long")
-    pairs = summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    size = BLOCK_TERMS
+    last = F.floor((F.col("low") + F.col("terms") - 1) / size)
+    blocks = F.when(F.col("terms") > 0, F.sequence(F.floor(F.col("low") / size), last)).otherwise(F.array(F.lit(-1).cast("long")))
+    rows = groups.withColumn("block", F.explode(blocks)).join(counts, ["lang", "source", "block"], "left")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    columns = ["source", "total", "terms", "low", "ords", "counts"]
+    sides = rows.select("lang", "block", F.col("tile").alias("one"), F.col("other").alias("two"), F.lit(True).alias("left"), *columns)
+    sides = sides.unionByName(rows.select("lang", "block", F.col("other").alias("one"), F.col("tile").alias("two"), F.lit(False).alias("left"), *columns))
+    gaps = sides.groupBy("lang", "block", "one", "two").applyInArrow(lambda table: compare(table, size), "lang string, source string, item string, value long")
+    pairs = gaps.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return ranked(pairs, "item").select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
 
 
-def compare(table: pa.Table) -> pa.Table:
+def compare(table: pa.Table, block_terms: int) -> pa.Table:
     """Summed distances of every left source from every other right source over the terms of a block."""
-    left, head = table.column("left").to_numpy(), table.column("head").to_numpy()
-    source = np.array(table.column("source").to_pylist(), object)
-    at, p = table.column("at").to_numpy(), table.column("p").to_numpy()
-    size = int(at[head][0])
-
-    def side(rows: np.ndarray) -> tuple[list[str], np.ndarray]:
-        names = source[rows & head].tolist()
-        place = {name: k for k, name in enumerate(names)}
-        shares = np.repeat(p[rows & head][:, None], size, axis=1)
-        cells = np.flatnonzero(rows & ~head)
-        shares[[place[x] for x in source[cells]], at[cells]] = p[cells]
-        return names, shares
-
-    (ones, mine), (others, theirs) = side(left), side(~left)
+    left = table.column("left").to_numpy()
+    lang, block, terms, low = (table.column(c)[0].as_py() for c in ("lang", "block", "terms", "low"))
+    begin = max(low, block * block_terms)
+    size = max(0, min(low + terms, (block + 1) * block_terms) - begin) if terms else 0
+
+    def side(part: pa.Table) -> tuple[list[str], np.ndarray]:
+        counted = np.zeros((part.num_rows, size), np.int64)
+        for k, (ords, counts) in enumerate(zip(part.column("ords"), part.column("counts"), strict=True)):
+            if ords.is_valid:
+                counted[k, ords.values.to_numpy() - begin] = counts.values.to_numpy()
+        return part.column("source").to_pylist(), np.stack([shares(c, t, terms) for c, t in zip(counted, part.column("total").to_pylist(), strict=True)] or [counted])
+
+    parts = (table.filter(pa.array(left)), table.filter(pa.array(~left)))
+    if not all(part.num_rows for part in parts):
+        return pa.table({c: pa.array([], k) for c, k in (("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64()))})
+    (ones, mine), (others, theirs) = map(side, parts)
     of, items, values = [], [], []
-    for name, shares in zip(ones, mine, strict=True):
-        gap = shares[None, :] - theirs
+    for name, own in zip(ones, mine, strict=True):
+        gap = own[None, :] - theirs
         value = (gap * gap // theirs).sum(axis=1)
         rest = [k for k, other in enumerate(others) if other != name]
         of += [name] * len(rest)
         items += [others[k] for k in rest]
         values += value[rest].tolist()
-    lang = table.column("lang")[0].as_py()
     return pa.table({"lang": pa.array([lang] * len(of), pa.string()), "source": pa.array(of, pa.string()), "item": pa.array(items, pa.string()), "value": pa.array(values, pa.int64())})

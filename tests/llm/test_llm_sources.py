@@ -89,7 +89,9 @@ def drawn(seed, documents):
 
 @pytest.mark.parametrize("portion,block", [(10**6, (4096, 256)), (7, (3, 2))])
 def test_audit_against_plain_counts(spark, monkeypatch, portion, block):
-    monkeypatch.setattr(source_audit, "TERMS_AT_ONCE", portion)
+    monkeypatch.setattr(source_audit, "TERMS_BUILT", portion)
+    monkeypatch.setattr(source_audit, "TERMS_SENT", 2 * portion)
+    monkeypatch.setattr(source_audit, "COUNTS_HELD", 10 * portion)
     monkeypatch.setattr(source_audit, "BLOCK_TERMS", block[0])
     monkeypatch.setattr(source_audit, "BLOCK_SOURCES", block[1])
     rows = drawn(8, 200)
@@ -104,7 +106,7 @@ def test_odd_tables(spark):
     assert sorted(map(tuple, source_audit.audit(spark.createDataFrame(rows, table.schema)).collect())) == plain(rows)
 
 
-def test_shares_are_exact_beyond_longs(spark):
-    n, total, terms = 7_000_000_000_001, 9_000_000_000_000_003, 12
-    found = spark.range(1).select(source_audit.share(*(source_audit.F.lit(x) for x in (n, total, terms)))).first()[0]
-    assert found == 1 + 10**9 * (n + 1) // (total + terms)
+def test_shares_are_exact_beyond_longs():
+    counts, total, terms = [0, 5, 7_000_000_000_001], 9_000_000_000_000_003, 12
+    assert source_audit.shares(np.array(counts), total, terms).tolist() == [1 + 10**9 * (n + 1) // (total + terms) for n in counts]
+    assert source_audit.shares(np.array(counts[:2]), 40, terms).tolist() == [1 + 10**9 * (n + 1) // 52 for n in counts[:2]]
