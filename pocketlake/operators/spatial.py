@@ -85,42 +85,58 @@ def _closest_boxes(candidates: DataFrame, point_key: Sequence[str]) -> DataFrame
     )
 
 
+def _box_levels(placed: DataFrame, group: str, fine: float, factor: int, levels: int) -> list[DataFrame]:
+    """Boxes around the targets of each cell, from cells of size ``fine`` up; a cell lies in one of ``factor`` times its size."""
+    cells = [f"_k{a}" for a in _AXES]
+    boxes = [_boxes(placed, [group, *cells], "_t", "_t")]
+    for _ in range(levels):
+        above = boxes[-1].withColumns({f"_k{a}": F.floor(F.col(f"_k{a}") / factor).cast("long") for a in _AXES})
+        boxes.append(_boxes(above, [group, *cells], "_lo", "_hi"))
+    return boxes
+
+
+def _level_count(spots: DataFrame, group: str, fine: float, factor: int) -> int:
+    """How often cells must grow until no group reaches over more than two of them on any axis."""
+    reach = [F.max(f"_t{a}") - F.min(f"_t{a}") for a in _AXES]
+    widest = spots.groupBy(group).agg(F.greatest(*reach).alias("reach")).agg(F.max("reach")).first()[0] or 0.0
+    levels = 0
+    while fine * factor**levels < widest:
+        levels += 1
+    return levels
+
+
 def nearest_distance(
     points: DataFrame,
     targets: DataFrame,
     point_key: Sequence[str],
     group: str = "structure_id",
     fine: float = 8.0,
-    coarse: float = 64.0,
+    factor: int = 4,
 ) -> DataFrame:
     """``point_key`` with the ``distance`` to the nearest target of the same group (no row if it has none).
 
-    Targets lie in boxes of two sizes. Boxes that cannot hold the nearest target are dropped before anything smaller is
-    joined, so work follows the space near a point and not the group. The target positions are frozen, so that however
-    they were derived is run once.
+    Targets lie in a hierarchy of cells. A point starts with the cells at the root, eight of its group at most, and goes down by one join
+    on (group, parent cell) for each level; boxes that cannot hold the nearest target are dropped on every level, so a point meets the
+    boxes around its nearest target, however many its group has. Targets without a finite position are left out. The target positions are
+    frozen, so that however they were derived is run once.
     """
-    spots = freeze(targets.select(group, *_AXES).distinct()).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
+    finite = " AND ".join(f"abs({a}) < double('infinity')" for a in _AXES)
+    spots = freeze(targets.where(finite).select(group, *_AXES).distinct()).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
     key = list(dict.fromkeys([*point_key, group]))
     located = points.select(*key, *_AXES)
     gap = F.sqrt(
         sum(((F.col(a) - F.col(f"_t{a}")) * (F.col(a) - F.col(f"_t{a}")) for a in _AXES), start=F.lit(0.0))
     )
-
-    def closest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(*key).agg(F.min(gap).alias("distance")).select(*point_key, "distance")
-
-    fine_cells, coarse_cells = [f"_f{a}" for a in _AXES], [f"_g{a}" for a in _AXES]
-    cells = [
-        F.floor(F.col(f"_t{a}") / size).cast("long").alias(f"{prefix}{a}")
-        for prefix, size in (("_f", fine), ("_g", coarse))
-        for a in _AXES
-    ]
-    placed = spots.select(group, *[f"_t{a}" for a in _AXES], *cells)
-    fine_boxes = _boxes(placed, [group, *coarse_cells, *fine_cells], "_t", "_t")
-    coarse_boxes = _boxes(fine_boxes, [group, *coarse_cells], "_lo", "_hi")
-    in_coarse = _closest_boxes(located.join(coarse_boxes, group), key)
-    in_fine = _closest_boxes(in_coarse.join(fine_boxes, [group, *coarse_cells]), key)
-    return closest(in_fine.join(placed, [group, *coarse_cells, *fine_cells]))
+    cells, parents = [f"_k{a}" for a in _AXES], [f"_p{a}" for a in _AXES]
+    placed = spots.select("*", *[F.floor(F.col(f"_t{a}") / fine).cast("long").alias(f"_k{a}") for a in _AXES])
+    *lower, root = _box_levels(placed, group, fine, factor, _level_count(spots, group, fine, factor))
+    candidates = _closest_boxes(located.join(root, group), key)
+    for boxes in reversed(lower):
+        under = boxes.withColumns({f"_p{a}": F.floor(F.col(f"_k{a}") / factor).cast("long") for a in _AXES})
+        above = candidates.withColumnsRenamed(dict(zip(cells, parents, strict=True)))
+        candidates = _closest_boxes(above.join(under, [group, *parents]).drop(*parents), key)
+    pairs = candidates.join(placed, [group, *cells])
+    return pairs.groupBy(*key).agg(F.min(gap).alias("distance")).select(*point_key, "distance")
 
 
 def burial_depth(

@@ -120,7 +120,7 @@ def nearest_by_boxes(spark, sf):
     atoms = domain.atoms(spark, sf)
     points = atoms.where("is_het OR atom_id % 2 = 1").select("structure_id", "atom_id", "x", "y", "z")
     near = spatial.nearest_distance(
-        points, atoms.where("NOT is_het"), ["structure_id", "atom_id"], fine=4.0, coarse=16.0
+        points, atoms.where("NOT is_het"), ["structure_id", "atom_id"], fine=4.0
     )
     return rounded(near, "distance")
 

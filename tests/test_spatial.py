@@ -43,7 +43,7 @@ def test_radius_join_equals_brute_force(spark, salts):
 def test_nearest_distance_equals_brute_force(spark):
     pdf, df = cloud(spark, seed=2)
     near = spatial.nearest_distance(
-        df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["structure_id", "k"], fine=3.0, coarse=12.0
+        df.where("k % 2 = 0"), df.where("k % 2 = 1"), ["structure_id", "k"], fine=3.0, factor=2
     )
     got = {r.k: r.distance for r in near.collect()}
     assert len(got) == (pdf.k % 2 == 0).sum()
@@ -53,6 +53,33 @@ def test_nearest_distance_equals_brute_force(spark):
             assert got[k] == pytest.approx(np.sqrt(((t - a) ** 2).sum(1)).min())
 
 
+def test_boxes_met_do_not_grow_with_the_structure(spark, monkeypatch):
+    """A structure with over 100 times the boxes of another: a point meets about as many in each."""
+    met, plain = [], spatial._closest_boxes
+
+    def counted(candidates, point_key):
+        met.append({r.structure_id: r["count"] for r in candidates.groupBy("structure_id").count().collect()})
+        return plain(candidates, point_key)
+
+    monkeypatch.setattr(spatial, "_closest_boxes", counted)
+    grid = [("small", 3.0 + 8 * i, 3.0 + 8 * j, 3.0 + 8 * k) for i in range(4) for j in range(4) for k in range(4)]
+    grid += [("large", 3.0 + 8 * i, 3.0 + 8 * j, 3.0 + 8 * k) for i in range(20) for j in range(20) for k in range(20)]
+    targets = spark.createDataFrame([*grid, ("large", float("nan"), 0.0, 0.0)], "structure_id string, x double, y double, z double")
+    rng = np.random.default_rng(3)
+    points = [(name, n, *map(float, rng.uniform(0, 30, 3))) for name in ("small", "large", "none") for n in range(20)]
+    frame = spark.createDataFrame(points, "structure_id string, n int, x double, y double, z double")
+    got = {(r.structure_id, r.n): r.distance for r in spatial.nearest_distance(frame, targets, ["structure_id", "n"]).collect()}
+    for name in ("small", "large"):
+        spots = np.array([g[1:] for g in grid if g[0] == name])
+        for who, n, *at in points:
+            if who == name:
+                assert got[name, n] == pytest.approx(np.sqrt(((spots - at) ** 2).sum(1)).min())
+    assert len(got) == 40 and len(met) == 4
+    assert met[0]["large"] <= 8 * 20
+    # Of 8,000 boxes a point meets a few hundred over all levels.
+    assert sum(level["large"] for level in met) <= 300 * 20
+
+
 def atoms(spark, rows):
     return spark.createDataFrame(rows, ATOM)
 
