@@ -188,7 +188,8 @@ def solvent_area(
     """Solvent-accessible area per atom by the rolling-probe method of Shrake and Rupley (1973).
 
     A grid join finds the neighbours of each atom. Each neighbour turns into bit masks of the sphere
-    points it buries, and ``bit_or`` merges the masks, so no neighbour list is ever collected.
+    points it buries, and ``bit_or`` merges the masks, so no neighbour list is ever collected. Atoms with the same position and
+    radius are folded into one weighted row before the join, since they bury alike; two or more of them bury each other.
     """
     element = F.upper(F.col("element")) if "element" in atoms.columns else F.upper(F.substring("atom_name", 1, 1))
     radius = F.lit(other_radius)
@@ -214,21 +215,23 @@ def solvent_area(
             masks[name] = part @ weights[: part.shape[1]]
         return pd.DataFrame(masks)
 
-    left = sized.select(*group, atom_key, "x", "y", "z", "_r")
-    right = sized.select(*group, F.col(atom_key).alias("_other"), "x", "y", "z", F.col("_r").alias("_other_r"))
-    pairs = radius_pairs(left, right, reach, group).where(
-        (F.col(atom_key) != F.col("_other")) & (F.col("distance") < F.col("_r") + F.col("_other_r"))
+    spot = [*group, "x", "y", "z", "_r"]
+    spots = sized.groupBy(*spot).agg(F.count("*").alias("_atoms"))
+    others = spots.select(*group, "x", "y", "z", F.col("_r").alias("_other_r"))
+    itself = (F.col("distance") == 0) & (F.col("_r") == F.col("_other_r"))
+    pairs = radius_pairs(spots, others, reach, group).where(
+        (~itself | (F.col("_atoms") > 1)) & (F.col("distance") < F.col("_r") + F.col("_other_r"))
     )
     merged = (
-        pairs.select(*group, atom_key, buried("dx", "dy", "dz", "_r", "_other_r").alias("_m"))
-        .groupBy(*group, atom_key)
+        pairs.select(*spot, buried("dx", "dy", "dz", "_r", "_other_r").alias("_m"))
+        .groupBy(*spot)
         .agg(*[F.bit_or(F.col(f"_m.{name}")).alias(f"_{name}") for name in names])
     )
     hidden = sum((F.coalesce(F.bit_count(f"_{name}"), F.lit(0)) for name in names), start=F.lit(0))
     area = (points - hidden) * (4 * float(np.pi) / points) * F.col("_r") * F.col("_r")
     return (
         sized.drop("sasa")
-        .join(merged, [*group, atom_key], "left")
+        .join(merged, spot, "left")
         .withColumn("sasa", area)
         .drop("_r", *[f"_{name}" for name in names])
     )

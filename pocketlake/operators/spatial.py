@@ -1,7 +1,7 @@
 """Distributed neighbour search: radius join and nearest distance on a cell grid.
 
 Cells split a large structure over many join keys, so one structure holding most atoms does not end
-in one task; a cell that is still hot is split by adaptive skew handling, since both joins are plain equi-joins.
+in one task; cells that crowd are counted and cut into halves. Both searches are plain equi-joins.
 """
 
 from __future__ import annotations
@@ -32,25 +32,109 @@ def _around(rows: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("_step", F.explode(steps)).select(*rows.columns, *cells)
 
 
+def crowded_cells(targets: DataFrame, size: float, group: Sequence[str], limit: int, depth: int = 8) -> list[DataFrame]:
+    """One table a level of the cells with more than ``limit`` targets, from cells of ``size`` down by halves.
+
+    ``_split`` says that a cell is cut into its eight halves; one that is not, because its targets share one position or ``depth`` is
+    reached, is dealt to ``_parts`` keys. A table has at most one row for ``limit`` targets; only the rows of split cells are counted
+    on the next level, and the list is empty if no cell is crowded.
+    """
+    key = [*group, "_cx", "_cy", "_cz"]
+    levels: list[DataFrame] = []
+    inside = targets.select(*group, *_AXES)
+    while True:
+        edge = size / 2 ** len(levels)
+        spread = F.greatest(*[F.max(a) - F.min(a) for a in _AXES])
+        counted = inside.select("*", *_cell(edge)).groupBy(*key).agg(F.count("*").alias("_n"), spread.alias("_spread"))
+        split = (F.col("_spread") > 0) & F.lit(len(levels) < depth)
+        parts = F.when(split, 1).otherwise(F.ceil(F.col("_n") / limit)).cast("long")
+        table = freeze(counted.where(F.col("_n") > limit).select(*key, split.alias("_split"), parts.alias("_parts")))
+        if table.isEmpty():
+            return levels
+        levels.append(table)
+        if table.where("_split").isEmpty():
+            return levels
+        inside = inside.select("*", *_cell(edge)).join(table.where("_split"), key, "left_semi").select(*group, *_AXES)
+
+
+def _found(rows: DataFrame, table: DataFrame, level: int, group: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_split`` and ``_parts`` of their cell, if it stands in the table of its level."""
+    key = [*group, "_level", "_cx", "_cy", "_cz"]
+    joined = rows.join(table.withColumn("_level", F.lit(level)), key, "left")
+    return joined.withColumns({"_split": F.coalesce("_split", F.lit(False)), "_parts": F.coalesce("_parts", F.lit(1))})
+
+
+def place_targets(targets: DataFrame, size: float, group: Sequence[str], levels: Sequence[DataFrame]) -> DataFrame:
+    """Every target once, with its cell: the first one on the way down that is not split."""
+    placed = targets.select("*", *_cell(size)).withColumns({"_level": F.lit(0), "_part": F.lit(0).cast("long")})
+    for level, table in enumerate(levels):
+        below = {f"_c{a}": F.floor(F.col(a) / (size / 2 ** (level + 1))).cast("long") for a in _AXES}
+        found = _found(placed, table, level, group)
+        dealt = F.pmod(F.xxhash64(*targets.columns), F.greatest("_parts", F.lit(1)))
+        placed = found.withColumns(
+            {name: F.when(F.col("_split"), cell).otherwise(F.col(name)) for name, cell in below.items()}
+            | {
+                "_level": F.when(F.col("_split"), level + 1).otherwise(F.col("_level")),
+                "_part": F.when(F.col("_parts") > 1, dealt).otherwise(F.col("_part")),
+            }
+        ).drop("_split", "_parts")
+    return placed
+
+
+def place_points(points: DataFrame, size: float, group: Sequence[str], levels: Sequence[DataFrame]) -> DataFrame:
+    """Every point once for each unsplit cell and part that can hold a target within ``size``.
+
+    Cells above the point's reach are left out where a cell is split, so a point meets few halves.
+    """
+    placed = _around(points, size).withColumns({"_level": F.lit(0), "_part": F.lit(0).cast("long")})
+    halves = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    for level, table in enumerate(levels):
+        scale = 2 ** (level + 1)
+        steps = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(_AXES, half)]) for half in halves])
+        same = F.array(F.struct(*[F.lit(0).alias(a) for a in _AXES]))
+        found = _found(placed, table, level, group).withColumn("_half", F.explode(F.when(F.col("_split"), steps).otherwise(same)))
+        gap = F.lit(0.0)
+        for a in _AXES:
+            at, low = F.col(a) / size * scale, F.col(f"_c{a}") * 2 + F.col(f"_half.{a}")
+            outside = F.greatest(low - at, at - low - 1, F.lit(0.0))
+            gap = gap + outside * outside
+        near = found.where(~F.col("_split") | (gap <= scale * scale * (1 + 1e-6)))
+        cells = {f"_c{a}": F.when(F.col("_split"), F.col(f"_c{a}") * 2 + F.col(f"_half.{a}")).otherwise(F.col(f"_c{a}")) for a in _AXES}
+        own = F.array(F.col("_part"))
+        parts = F.when(F.col("_parts") > 1, F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(own)
+        placed = near.withColumns(
+            cells | {"_level": F.when(F.col("_split"), level + 1).otherwise(F.col("_level")), "_part": F.explode(parts)}
+        ).drop("_split", "_parts", "_half")
+    return placed
+
+
 def radius_pairs(
-    points: DataFrame, targets: DataFrame, radius: float, group: Sequence[str] = ("structure_id",), salts: int = 1
+    points: DataFrame,
+    targets: DataFrame,
+    radius: float,
+    group: Sequence[str] = ("structure_id",),
+    salts: int = 1,
+    limit: int = 2000,
 ) -> DataFrame:
     """Pairs within ``radius`` inside the same group, with ``dx, dy, dz`` (point − target) and ``distance``.
 
     ``points`` should be the smaller side: it is repeated for its 27 surrounding cells, the targets are
-    not. All other columns of both sides are kept and must differ in name. ``salts`` splits every cell of targets
-    into that many join keys, for data whose crowded cells are known before adaptive execution could see them.
+    not. All other columns of both sides are kept and must differ in name. Targets are counted per cell first. A cell with more than
+    ``limit`` of them is cut into halves until it has no more, and one whose targets all share a position is dealt to several keys by
+    the hash of the row, so the targets of a join key stay near ``limit`` wherever they crowd. ``salts`` splits every cell of targets
+    into that many join keys in addition.
     """
-    key = [*group, "_cx", "_cy", "_cz"]
-    spread = _around(points, radius)
-    placed = targets.select("*", *_cell(radius)).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
+    levels = crowded_cells(targets, radius, group, limit)
+    key = [*group, "_level", "_part", "_cx", "_cy", "_cz"]
+    spread = place_points(points, radius, group, levels)
+    placed = place_targets(targets, radius, group, levels).withColumnsRenamed({a: f"_t{a}" for a in _AXES})
     if salts > 1:
         key.append("_salt")
         spread = spread.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
         placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*placed.columns), F.lit(salts)).cast("long"))
     joined = spread.join(placed, key)
     gaps = [(F.col(a) - F.col(f"_t{a}")).alias(f"d{a}") for a in _AXES]
-    kept = [c for c in joined.columns if c not in {"_cx", "_cy", "_cz", "_tx", "_ty", "_tz", "_salt"}]
+    kept = [c for c in joined.columns if c not in {"_cx", "_cy", "_cz", "_tx", "_ty", "_tz", "_salt", "_level", "_part"}]
     distance = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     return joined.select(*kept, *gaps).withColumn("distance", distance).where(F.col("distance") <= radius)
 
