@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from ..runtime import is_absent
 from .scoring import composite_score, model_class, rule_class
@@ -80,3 +83,53 @@ def per_item(
         F.col(id_col).isNull(), F.raise_error(F.lit(f"result missing {id_col}")).cast("boolean")
     ).otherwise(F.lit(True))
     return df.mapInPandas(run, schema).where(guard)
+
+
+def per_item_isolated(
+    df: DataFrame,
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    keys: Sequence[str] = ("structure_id",),
+) -> DataFrame:
+    """As ``per_item``, with failing items listed in place of ending the run: the columns of ``schema`` and ``error``.
+
+    ``function`` treats rows independently. A batch that it cannot handle is halved until the failing row stands alone, so the
+    other rows of the batch keep their results. A failing row costs about two calls for each halving, and two calls a row are the most
+    there can be; ``quarantine`` suits failures that an expression can name. That row gives its
+    ``keys`` (columns of ``schema``), no other value, and the kind and text of the error. A result that does not fit ``schema`` or
+    has no value in a key counts as a failure of the rows that it came from; empty batches are not passed on.
+    """
+    fields = StructType.fromDDL(schema)
+    if not set(keys) <= set(fields.names):
+        raise ValueError("keys must be columns of the schema")
+    names, arrow = fields.names, to_arrow_schema(fields)
+
+    def fitting(batch: pd.DataFrame) -> pa.Table:
+        result = function(batch)
+        if result[list(keys)].isna().any(axis=None):
+            raise ValueError(f"result missing {', '.join(keys)}")
+        return pa.Table.from_pandas(result[names], schema=arrow, preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows, waiting = whole.to_pandas(), [(0, whole.num_rows)]
+            while waiting:
+                start, count = waiting.pop()
+                if count == 0:
+                    continue
+                try:
+                    table = fitting(rows.iloc[start : start + count].reset_index(drop=True))
+                    error = pa.nulls(table.num_rows, pa.string())
+                except Exception as problem:
+                    if count > 1:
+                        half = count // 2
+                        waiting += [(start + half, count - half), (start, half)]
+                        continue
+                    item = whole.slice(start, 1)
+                    known = {k: item.column(item.schema.get_field_index(k)).cast(arrow.field(k).type) for k in keys}
+                    columns = [known[n] if n in known else pa.nulls(1, arrow.field(n).type) for n in names]
+                    table = pa.Table.from_arrays(columns, names=names)
+                    error = pa.array([f"{type(problem).__name__}: {problem}"])
+                yield from table.append_column("error", error).to_batches()
+
+    return df.mapInArrow(run, StructType(fields.fields).add("error", StringType()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.scorers import RuleScorer, per_item
+from ..functions.scorers import RuleScorer, per_item, per_item_isolated
 from ..operators import learning, ledger
 from ..runtime import freeze, scratch_path
 from ..streaming import incremental
@@ -347,6 +347,28 @@ def per_item_function(spark, sf):
     return per_item(rows, ratio, "structure_id long, pocket_id long, ratio_ppm double")
 
 
+@query(
+    "per_item_failures",
+    oracle(
+        """SELECT structure_id, pocket_id,
+          CASE WHEN volume >= 12 THEN floor(volume / greatest(sasa, 1.0) * 1e6::DOUBLE + 0.5::DOUBLE) END AS ratio_ppm,
+          CASE WHEN volume >= 12 THEN NULL ELSE 'ValueError: pocket too small' END AS error FROM v_pocket_rows""",
+        "v_pocket_rows",
+    ),
+)
+def per_item_failures(spark, sf):
+    """A function that fails on small pockets: every other pocket has its result, and each failure is listed."""
+
+    def ratio(batch: pd.DataFrame) -> pd.DataFrame:
+        if not (batch.volume >= 12).all():
+            raise ValueError("pocket too small")
+        parts = (batch.volume / batch.sasa.clip(lower=1.0) * 1e6 + 0.5) // 1
+        return batch.assign(ratio_ppm=parts)[["structure_id", "pocket_id", "ratio_ppm"]]
+
+    rows = domain.pocket_rows(spark, sf).select("structure_id", "pocket_id", "volume", "sasa")
+    return per_item_isolated(rows, ratio, "structure_id long, pocket_id long, ratio_ppm double", ("structure_id", "pocket_id"))
+
+
 @query(
     "pluggable_scorer",
     oracle(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pocketlake.functions import controls, scoring, values
-from pocketlake.functions.scorers import RuleScorer, per_item, scorer_from_path
+from pocketlake.functions.scorers import RuleScorer, per_item, per_item_isolated, scorer_from_path
 from pocketlake.operators import filters
 
 
@@ -128,3 +128,41 @@ def test_residue_gate_keeps_rows_without_information(spark):
         "structure_id string, chain string, resseq int, sasa double, plddt double",
     )
     assert ids(filters.by_residue_confidence(pockets, residues)) == [1, 3, 5]
+
+
+def test_failing_items_are_listed_and_stop_nothing(spark):
+    def inverse(batch):
+        if (batch.x == 0).any():
+            raise ZeroDivisionError("x is zero")
+        result = batch.assign(y=1 / batch.x, note=batch.x.map(lambda v: "odd" if v % 2 else "even"))
+        result.loc[batch.x == 50, "structure_id"] = None
+        return result.assign(y=result.y.astype(object).where(batch.x != 70, "text"))
+
+    rows = spark.createDataFrame([(f"s{i}", i % 100) for i in range(2_000)], "structure_id string, x int").repartition(3)
+    schema = "structure_id string, note string, y double"
+    got = per_item_isolated(rows, inverse, schema).collect()
+    assert len(got) == 2_000 and len({r.structure_id for r in got}) == 2_000
+    failed = {int(r.structure_id[1:]): r for r in got if r.error is not None}
+    assert {i % 100 for i in failed} == {0, 50, 70} and len(failed) == 60
+    assert failed[100].error == "ZeroDivisionError: x is zero" and failed[100].y is None
+    assert failed[50].error == "ValueError: result missing structure_id" and failed[50].structure_id == "s50"
+    assert all(r.y == 1 / (int(r.structure_id[1:]) % 100) for r in got if r.error is None)
+    assert per_item_isolated(rows.limit(0), inverse, schema).count() == 0
+    nobody = spark.createDataFrame([(None, 3), ("a", None)], "structure_id string, x int")
+    assert [r.structure_id for r in per_item_isolated(nobody, inverse, schema).collect() if r.error] == [None]
+    with pytest.raises(ValueError):
+        per_item_isolated(rows, inverse, "note string")
+
+
+def test_calls_for_a_failing_item_grow_with_the_halvings(spark, tmp_path):
+    def counted(batch):
+        with open(tmp_path / "calls", "a") as log:
+            log.write("x")
+        if (batch.x == 700).any():
+            raise ValueError("bad")
+        return batch
+
+    rows = spark.range(1_000).select(F.col("id").cast("string").alias("structure_id"), F.col("id").alias("x")).coalesce(1)
+    got = per_item_isolated(rows, counted, "structure_id string, x long").where("error IS NOT NULL").collect()
+    assert [r.structure_id for r in got] == ["700"]
+    assert len((tmp_path / "calls").read_text()) <= 2 * 11
