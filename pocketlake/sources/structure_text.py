@@ -44,6 +44,49 @@ def _field(start: int, length: int) -> Column:
     return F.trim(F.substring("line", start, length))
 
 
+#: Start and length behind the last standard column for numbers that no field can hold, by the start of their field.
+_WIDE = {7: (81, 20), 23: (101, 12)}
+
+
+def _hybrid_bounds(width: int) -> tuple[int, int, int]:
+    """First number in upper-case letters, numbers per case, and the base-36 value of the first code with a leading letter."""
+    return 10**width, 26 * 36 ** (width - 1), 10 * 36 ** (width - 1)
+
+
+def number_text(number: Column, width: int) -> Column:
+    """A whole number right-aligned in ``width`` columns: decimal while it fits, then hybrid-36, then a field of ``*``.
+
+    Hybrid-36 is the usual extension of atom and residue numbers: codes with a leading upper-case letter, then with a lower-case one.
+    """
+    first, span, letter = _hybrid_bounds(width)
+    number = number.cast("long")
+
+    def code(skipped: int) -> Column:
+        return F.conv((number - skipped + letter).cast("string"), 10, 36)
+
+    fits = number.between(1 - 10 ** (width - 1), first - 1)
+    text = (
+        F.when(fits, number.cast("string"))
+        .when(number.between(first, first + span - 1), code(first))
+        .when(number.between(first + span, first + 2 * span - 1), F.lower(code(first + span)))
+    )
+    return F.lpad(F.when(number.isNull(), "").otherwise(F.coalesce(text, F.lit("*" * width))), width, " ")
+
+
+def _number(start: int, width: int) -> Column:
+    """The number that ``number_text`` wrote at ``start``, NULL if there is none."""
+    first, span, letter = _hybrid_bounds(width)
+    text = _field(start, width)
+    value = F.conv(text, 36, 10).cast("long") - letter + first
+    tail = f"[0-9A-Z]{{{width - 1}}}$"
+    return (
+        F.when(text.rlike(f"^[A-Z]{tail}"), value)
+        .when(text.rlike(f"^[a-z]{tail.lower()}"), value + span)
+        .when(text == "*" * width, _field(*_WIDE[start]).try_cast("long"))
+        .otherwise(text.try_cast("long"))
+    )
+
+
 def parse_atoms(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> DataFrame:
     """Fixed-width ATOM/HETATM lines as atom rows (columns of the PDB format).
 
@@ -58,11 +101,11 @@ def parse_atoms(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> Dat
         *key,
         "pos",
         F.trim(F.substring("line", 1, 6)).alias("record"),
-        _field(7, 5).try_cast("long").alias("atom_id"),
+        _number(7, 5).alias("atom_id"),
         _field(13, 4).alias("atom_name"),
         _field(18, 3).alias("resname"),
         _field(22, 1).alias("chain"),
-        _field(23, 4).try_cast("int").alias("resseq"),
+        _number(23, 4).try_cast("int").alias("resseq"),
         _field(31, 8).try_cast("double").alias("x"),
         _field(39, 8).try_cast("double").alias("y"),
         _field(47, 8).try_cast("double").alias("z"),
@@ -114,7 +157,7 @@ def pocket_residue_ids(lines: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct (key, resseq) of a pocket's atom records; unreadable numbers are skipped."""
     records = lines.where(F.col("line").startswith("ATOM") | F.col("line").startswith("HETATM"))
     return (
-        records.select(*key, _field(23, 4).try_cast("int").alias("resseq")).where("resseq IS NOT NULL").distinct()
+        records.select(*key, _number(23, 4).try_cast("int").alias("resseq")).where("resseq IS NOT NULL").distinct()
     )
 
 
@@ -132,13 +175,19 @@ def pocket_centroids(pockets: DataFrame, lines: DataFrame, key: Sequence[str]) -
 
 
 def format_pdb_line(atoms: DataFrame) -> Column:
-    """A fixed-width atom record from an atom row; coordinates must already be rounded to 3 decimals."""
+    """A fixed-width atom record from an atom row; coordinates must already be rounded to 3 decimals.
+
+    Numbers too large for their field are written as ``number_text`` says; those beyond hybrid-36 stand behind column 80 as well.
+    """
     record = F.when(F.col("is_het"), "HETATM").otherwise("ATOM  ")
-    return F.format_string(
-        "%s%5d  %-3s %3s %s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f",
-        record, "atom_id", "atom_name", "resname", "chain", "resseq", "x", "y", "z",
+    serial, residue = number_text(F.col("atom_id"), 5), number_text(F.col("resseq"), 4)
+    line = F.format_string(
+        "%s%s  %-3s %3s %s%s    %8.3f%8.3f%8.3f%6.2f%6.2f",
+        record, serial, "atom_name", "resname", "chain", residue, "x", "y", "z",
         F.lit(1.0), "bfactor",
     )
+    wide = F.concat(F.rpad(line, 80, " "), F.lpad(F.col("atom_id").cast("string"), 20, " "), F.lpad(F.col("resseq").cast("string"), 12, " "))
+    return F.when((serial == "*" * 5) | (residue == "*" * 4), wide).otherwise(line)
 
 
 def accession(stem: Column) -> Column:

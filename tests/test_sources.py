@@ -170,3 +170,19 @@ def test_bad_results_table(spark):
     assert quality.verdict(quality.results_issues(good, "good.csv")).collect()[0].valid
     diff = quality.schema_consistency([("a", good), ("b", bad), ("c", good)]).collect()
     assert [r.subject for r in diff] == ["b"] and "missing=['composite_score'" in diff[0].message
+
+
+def test_numbers_wider_than_their_fields(spark):
+    ids = [-999, 0, 9_999, 10_000, 99_999, 100_000, 43_770_015, 43_770_016, 87_440_031, 87_440_032, 10**12]
+    residues = [-999, 0, 9_999, 10_000, 1_223_055, 1_223_056, 2_436_111, 2_436_112, 2**31 - 1]
+    pairs = [(a, residues[i % len(residues)]) for i, a in enumerate(ids)]
+    rows = [(1, a, "CA", "ALA", "A", r, 1.5, -2.25, 3.125, 50.0, False) for a, r in pairs]
+    schema = "structure_id int, atom_id long, atom_name string, resname string, chain string, resseq int, x double, y double, z double, bfactor double, is_het boolean"
+    written = spark.createDataFrame(rows, schema).withColumn("line", structure_text.format_pdb_line(spark.createDataFrame(rows, schema)))
+    texts = {r["atom_id"]: r["line"] for r in written.collect()}
+    assert texts[100_000][6:11] == "A0000" and texts[43_770_016][6:11] == "a0000"
+    read = structure_text.parse_atoms(written.select("structure_id", F.lit(0).alias("pos"), "line")).collect()
+    assert sorted((r["atom_id"], r["resseq"]) for r in read) == sorted(pairs)
+    assert {(r["x"], r["y"], r["z"], r["bfactor"]) for r in read} == {(1.5, -2.25, 3.125, 50.0)}
+    lists = structure_text.pocket_residue_ids(written, ["structure_id"]).collect()
+    assert {r["resseq"] for r in lists} == set(residues)
