@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pocketlake.functions.scorers import ModelScorer, scorer_from_path
+from pocketlake.functions.scorers import ModelScorer, per_item_isolated, scorer_from_path
 from pocketlake.operators import learning, ledger
 from pocketlake.schemas import FEATURE_COLUMNS
 from pocketlake.streaming import incremental
@@ -190,3 +190,24 @@ def test_retraining_only_on_change(spark):
     one = spark.createDataFrame([("a", "1")], "path string, sha256 string")
     two = spark.createDataFrame([("a", "2")], "path string, sha256 string")
     assert not learning.dataset_changed(one, one) and learning.dataset_changed(one, two)
+
+
+def test_failing_rows_cost_few_calls(spark):
+    """A batch with a quarter of failing rows that hang on one column is settled by little more than a call for each of them."""
+    calls = spark.sparkContext.accumulator(0)
+    rows = spark.range(4000, numPartitions=1).selectExpr("id AS structure_id", "pmod(xxhash64(id), 1000) AS volume", "pmod(hash(id), 7) AS other")
+
+    def strict(batch):
+        calls.add(1)
+        if (batch.volume < 250).any():
+            raise ValueError(f"too small: {batch.volume.iloc[0]}" if len(batch) == 1 else "some")
+        return batch.assign(twice=batch.volume * 2.0)[["structure_id", "twice"]]
+
+    got = {r.structure_id: r for r in per_item_isolated(rows, strict, "structure_id long, twice double").collect()}
+    want = rows.collect()
+    assert len(got) == len(want) == 4000
+    for r in want:
+        small = r.volume < 250
+        assert got[r.structure_id].error == (f"ValueError: too small: {r.volume}" if small else None)
+        assert got[r.structure_id].twice == (None if small else r.volume * 2.0)
+    assert calls.value < sum(r.volume < 250 for r in want) + 800
