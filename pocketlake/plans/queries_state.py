@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -135,12 +137,17 @@ def checked_resume_state(spark, sf):
     return ledger.checked_state(states, "k INT").groupBy("k").agg(F.count("*").alias("n"))
 
 
+#: Rows of a landed file, so that the task that writes one is of one size for any table.
+LANDED_ROWS = 500_000
+
+
 def _pocket_stream(spark, sf, cut_by="l_partkey"):
-    """The pocket source as a stream of four files, one per micro-batch; rows with one ``cut_by`` are in one file."""
+    """The pocket source as a stream of four micro-batches; rows with one ``cut_by`` are in one file."""
     rows = domain.table(spark, sf, "lineitem")
     folder = scratch_path(spark, "landing")
-    rows.withColumn("cut", F.pmod(F.xxhash64(cut_by), F.lit(4))).repartition("cut").write.partitionBy("cut").parquet(folder)
-    raw = incremental.read_new_files(spark, f"{folder}/*", rows.schema, files_per_batch=1)
+    per_batch = math.ceil(rows.count() / (4 * LANDED_ROWS)) or 1
+    rows.repartition(4 * per_batch, cut_by).write.parquet(folder)
+    raw = incremental.read_new_files(spark, folder, rows.schema, files_per_batch=per_batch)
     return raw.select(
         F.col("l_orderkey").alias("structure_id"),
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("pocket_id"),

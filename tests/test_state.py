@@ -211,3 +211,18 @@ def test_failing_rows_cost_few_calls(spark):
         assert got[r.structure_id].error == (f"ValueError: too small: {r.volume}" if small else None)
         assert got[r.structure_id].twice == (None if small else r.volume * 2.0)
     assert calls.value < sum(r.volume < 250 for r in want) + 800
+
+
+def test_stream_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """Landed files hold few rows each, and a structure lies in one of them, so its best hits are ranked in one batch."""
+    from pocketlake.plans import queries_state
+
+    monkeypatch.setattr(queries_state, "LANDED_ROWS", 500, raising=False)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    folder = str(tmp_path / "landing")
+    monkeypatch.setattr(queries_state, "scratch_path", lambda *_: folder)
+    queries_state._pocket_stream(spark, "/root/testdata/sf0.001", "l_orderkey")
+    landed = spark.read.parquet(folder).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.collect_set("l_orderkey").alias("k"))
+    files = landed.collect()
+    assert sum(f.n for f in files) == lines.count() and max(f.n for f in files) < 1000
+    assert sum(len(f.k) for f in files) == lines.select("l_orderkey").distinct().count()
