@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import is_basic, is_ligand, is_phosphate_atom
-from .spatial import radius_pairs
+from ..runtime import freeze
+from .spatial import pairs_with_others, radius_pairs
 
 POCKET_KEY = ("structure_id", "pocket_id")
 
@@ -167,6 +168,10 @@ def ligand_total_sasa(atoms: DataFrame, ligand: str | None = None) -> DataFrame:
     return rows.groupBy("structure_id", "resname").agg(F.sum("sasa").alias("total_sasa"))
 
 
+#: Small cells of ``solvent_area`` along the reach of an atom; more of them leave fewer atoms to meet all neighbours.
+CELLS_PER_REACH = 3
+
+
 def _sphere(points: int) -> np.ndarray:
     """Points of a golden-angle spiral on the unit sphere."""
     k = np.arange(points)
@@ -188,7 +193,8 @@ def solvent_area(
     """Solvent-accessible area per atom by the rolling-probe method of Shrake and Rupley (1973).
 
     A grid join finds the neighbours of each atom. Each neighbour turns into bit masks of the sphere
-    points it buries, and ``bit_or`` merges the masks, so no neighbour list is ever collected. Atoms with the same position and
+    points it buries, and ``bit_or`` merges the masks, so no neighbour list is ever collected. An atom first meets one neighbour of each small
+    cell around it, whose number does not grow with the atoms; only atoms with a point that none of those buries meet all neighbours. Atoms with the same position and
     radius are folded into one weighted row before the join, since they bury alike; two or more of them bury each other.
     """
     element = F.upper(F.col("element")) if "element" in atoms.columns else F.upper(F.substring("atom_name", 1, 1))
@@ -216,17 +222,36 @@ def solvent_area(
         return pd.DataFrame(masks)
 
     spot = [*group, "x", "y", "z", "_r"]
-    spots = sized.groupBy(*spot).agg(F.count("*").alias("_atoms"))
+    spots = freeze(sized.groupBy(*spot).agg(F.count("*").alias("_atoms")))
     others = spots.select(*group, "x", "y", "z", F.col("_r").alias("_other_r"))
-    itself = (F.col("distance") == 0) & (F.col("_r") == F.col("_other_r"))
-    pairs = radius_pairs(spots, others, reach, group).where(
-        (~itself | (F.col("_atoms") > 1)) & (F.col("distance") < F.col("_r") + F.col("_other_r"))
-    )
-    merged = (
-        pairs.select(*spot, buried("dx", "dy", "dz", "_r", "_other_r").alias("_m"))
-        .groupBy(*spot)
-        .agg(*[F.bit_or(F.col(f"_m.{name}")).alias(f"_{name}") for name in names])
+
+    def masks(pairs: DataFrame) -> DataFrame:
+        itself = (F.col("distance") == 0) & (F.col("_r") == F.col("_other_r"))
+        met = pairs.where((~itself | (F.col("_atoms") > 1)) & (F.col("distance") < F.col("_r") + F.col("_other_r")))
+        return (
+            met.select(*spot, buried("dx", "dy", "dz", "_r", "_other_r").alias("_m"))
+            .groupBy(*spot)
+            .agg(*[F.bit_or(F.col(f"_m.{name}")).alias(f"_{name}") for name in names])
+        )
+
+    # One neighbour of each small cell and radius buries most atoms of a dense structure entirely.
+    fine = [F.floor(F.col(axis) / (reach / CELLS_PER_REACH)) for axis in "xyz"]
+    first = F.min(F.struct("x", "y", "z")).alias("_first")
+    few = others.groupBy(*group, "_other_r", *[c.alias(f"_f{i}") for i, c in enumerate(fine)]).agg(first)
+    few = few.select(*group, "_other_r", "_first.*")
+    kept = spots.withColumns({f"_s{axis}": F.col(axis) for axis in "xyz"})
+    near = radius_pairs(few, kept, reach, group).withColumns(
+        {axis: F.col(f"_s{axis}") for axis in "xyz"} | {f"d{axis}": -F.col(f"d{axis}") for axis in "xyz"}
     )
+    settled = freeze(masks(near))
+    # The others meet the rest of their neighbours.
+    full = sum((F.bit_count(f"_{name}") for name in names), start=F.lit(0)) == points
+    open_spots = spots.join(settled.where(full), spot, "left_anti")
+    later = pairs_with_others(open_spots, others, few, reach, group)
+    merged = settled
+    if later is not None:
+        both = settled.unionByName(masks(later))
+        merged = both.groupBy(*spot).agg(*[F.bit_or(f"_{name}").alias(f"_{name}") for name in names])
     hidden = sum((F.coalesce(F.bit_count(f"_{name}"), F.lit(0)) for name in names), start=F.lit(0))
     area = (points - hidden) * (4 * float(np.pi) / points) * F.col("_r") * F.col("_r")
     return (

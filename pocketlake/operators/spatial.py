@@ -139,6 +139,14 @@ def radius_pairs(
     return joined.select(*kept, *gaps).withColumn("distance", distance).where(F.col("distance") <= radius)
 
 
+def pairs_with_others(
+    points: DataFrame, targets: DataFrame, met: DataFrame, radius: float, group: Sequence[str] = ("structure_id",)
+) -> DataFrame | None:
+    """``radius_pairs`` with the targets that are not in ``met`` (of the same columns); None if there are no others."""
+    rest = freeze(targets.join(met, met.columns, "left_anti"))
+    return None if rest.isEmpty() else radius_pairs(points, rest, radius, group)
+
+
 def _box_bounds() -> tuple[Column, Column]:
     """Squared distance from the row's point to the nearest and the farthest spot of its box."""
     low, high = F.lit(0.0), F.lit(0.0)

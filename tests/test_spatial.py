@@ -258,3 +258,26 @@ def test_dynamics_report_marks_failures(spark):
     assert report["lost"].classification == "failed" and report["lost"].error
     assert report["c"].avg_waters_in_pocket == 1.0
     assert report["c"].avg_pocket_rmsf_nm == pytest.approx(np.std([0.0, 0.01, 0.02]))
+
+
+def test_crowded_atoms_meet_few_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("s", i, "CA" if i % 2 else "O1", "ALA", "A", i, *map(float, p), False, 0.0, 80.0) for i, p in enumerate(rng.normal(0, 2.0, (1500, 3)))]
+    heap = atoms(spark, rows)
+    plain, sizes = spatial.radius_pairs, []
+
+    def counted(*args):
+        pairs = plain(*args)
+        sizes.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(features, "radius_pairs", counted)
+    monkeypatch.setattr(spatial, "radius_pairs", counted)
+    got = {r.atom_id: r.sasa for r in features.solvent_area(heap, points=60).collect()}
+    assert sum(sizes) < 1500 * 1500 / 5
+    at, r = np.array([row[6:9] for row in rows]), np.array([1.7 if row[1] % 2 else 1.52 for row in rows]) + 1.4
+    for i in range(0, 1500, 7):
+        spots = at[i] + r[i] * features._sphere(60).T
+        others = np.arange(1500) != i
+        free = (((spots[:, None] - at[others]) ** 2).sum(2) > r[others] ** 2).all(axis=1).sum()
+        assert got[i] == pytest.approx(free * 4 * math.pi / 60 * r[i] ** 2)
