@@ -99,13 +99,9 @@ def info_lines(spark, sf):
         F.concat(F.lit("\tMean alpha-sphere SASA : "), F.col("sasa").cast("string")),
         F.concat(F.lit("\tKind : class "), "return_class"),
     )
-    numbered = rows.select("structure_id", "pocket_id", F.posexplode(block).alias("i", "line"))
-    lines = numbered.select("structure_id", F.struct("pocket_id", "i").alias("o"), "line")
-    head = rows.select("structure_id").distinct().select(
-        "structure_id", F.struct(F.lit(-1).cast("long").alias("pocket_id"), F.lit(0).alias("i")).alias("o"),
-        F.lit("Created : by a test").alias("line"),
-    )
-    return structure_text.split_lines(_whole_files(head.unionByName(lines), ["structure_id"], "line", "o"))
+    blocks = rows.select("structure_id", "pocket_id", F.array_join(block, "\n").alias("block"))
+    files = _whole_files(blocks, ["structure_id"], "block", "pocket_id")
+    return structure_text.split_lines(files.withColumn("value", F.concat(F.lit("Created : by a test\n"), "value")))
 
 
 @query(

@@ -120,7 +120,7 @@ def parse_atoms(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> Dat
 
 def _strip(text: Column) -> Column:
     """Without white space of any kind at both ends; ``trim`` would leave tabs."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def parse_info(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> DataFrame:
@@ -129,12 +129,13 @@ def parse_info(lines: DataFrame, key: Sequence[str] = ("structure_id",)) -> Data
     Lines before the first block are ignored. The block of a line is found by a window within its file.
     """
     line = _strip(F.col("line"))
-    header = F.regexp_extract(line, r"^Pocket\s+(\d+)", 1)
-    marked = lines.select(*key, "pos", line.alias("line"), F.nullif(header, F.lit("")).try_cast("int").alias("_block"))
+    header = F.regexp_extract("line", r"^Pocket\s+(\d+)", 1)
+    block = F.when(F.col("line").startswith("Pocket"), F.nullif(header, F.lit("")).try_cast("int"))
+    marked = lines.select(*key, "pos", line.alias("line")).withColumn("_block", block)
     upto = Window.partitionBy(*key).orderBy("pos")
     filled = marked.withColumn("pocket_id", F.last("_block", ignorenulls=True).over(upto))
     pair = F.split("line", ":", 2)
-    name = F.regexp_replace(F.lower(_strip(F.get(pair, F.lit(0)))), "[ -]", "_")
+    name = F.translate(F.lower(_strip(F.get(pair, F.lit(0)))), " -", "__")
     text = _strip(F.get(pair, F.lit(1)))
     return filled.where(
         F.col("pocket_id").isNotNull() & F.col("_block").isNull() & F.col("line").contains(":")
@@ -145,12 +146,13 @@ def pocket_table(
     info: DataFrame, columns: Sequence[str] = ("volume", "score"), key: Sequence[str] = ("structure_id",)
 ) -> DataFrame:
     """One row per pocket: the named properties as numbers, all others in a map. Repeated keys: last wins."""
-    latest = info.groupBy(*key, "pocket_id", "name").agg(
-        F.max_by("number", "pos").alias("number"), F.max_by("text", "pos").alias("text")
-    )
-    named = [F.max(F.when(F.col("name") == c, F.col("number"))).alias(c) for c in columns]
-    rest = F.collect_list(F.when(~F.col("name").isin(*columns), F.struct("name", "text")))
-    return latest.groupBy(*key, "pocket_id").agg(*named, F.map_from_entries(rest).alias("extra"))
+    named = [F.max_by("number", F.when(F.col("name") == c, F.col("pos"))).alias(c) for c in columns]
+    rest = F.collect_list(F.when(~F.col("name").isin(*columns), F.struct("name", "pos", "text"))).alias("_rest")
+    table = info.groupBy(*key, "pocket_id").agg(*named, rest).withColumn("_rest", F.array_sort("_rest"))
+    # In the order of name and position the last of a name stands before another name or at the end.
+    last = F.filter("_rest", lambda e, i: F.coalesce(F.get("_rest", i + 1)["name"] != e["name"], F.lit(True)))
+    extra = F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["text"])))
+    return table.select(*key, "pocket_id", *columns, extra.alias("extra"))
 
 
 def pocket_residue_ids(lines: DataFrame, key: Sequence[str]) -> DataFrame:

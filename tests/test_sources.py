@@ -186,3 +186,14 @@ def test_numbers_wider_than_their_fields(spark):
     assert {(r["x"], r["y"], r["z"], r["bfactor"]) for r in read} == {(1.5, -2.25, 3.125, 50.0)}
     lists = structure_text.pocket_residue_ids(written, ["structure_id"]).collect()
     assert {r["resseq"] for r in lists} == set(residues)
+
+
+def test_block_parse_needs_few_passes(spark):
+    """Repeated names: the last wins, NULL too; one aggregation and no regular expression for white space."""
+    text = "Pocket 1 :\n Score : 1\n\tKind :\ta\n Kind : b \n Score : x\n Other-Key : 5\nPocket 2 :\nPocketed : 3\n"
+    info = structure_text.parse_info(structure_text.split_lines(spark.createDataFrame([(1, text)], "structure_id int, value string")))
+    table = structure_text.pocket_table(info, ("score",))
+    got = {r.pocket_id: (r.score, r.extra) for r in table.collect()}
+    assert got == {1: (None, {"kind": "b", "other_key": "5"}), 2: (None, {"pocketed": "3"})}
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and r"\s+$" not in plan
