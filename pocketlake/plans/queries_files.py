@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning, quality
-from ..runtime import scratch_path
+from ..runtime import freeze, scratch_path
 from ..sources import tables
 from . import domain
 from .oracle_views import oracle
@@ -176,10 +176,10 @@ def comparative_package(spark, sf):
 )
 def model_round_trip(spark, sf):
     """A model read back from its folder scores every pocket as the one that was saved."""
-    rows = domain.features(spark, sf)
+    rows = freeze(domain.features(spark, sf))
     model, _ = learning.fit(rows, "random_forest", grid={"numTrees": [10], "maxDepth": [5]})
     path = scratch_path(spark, "model")
     learning.save_model(model, path)
-    first = learning.predict(model, rows).select("pdb_id", "pocket_id", F.col("probability_cryptic").alias("p"))
-    again = learning.predict(learning.load_model(path), rows).select("pdb_id", "pocket_id", F.col("probability_cryptic").alias("q"))
-    return first.join(again, ["pdb_id", "pocket_id"]).select("pdb_id", "pocket_id", (F.col("p") == F.col("q")).alias("same"), F.col("p").between(0, 1).alias("in_range"))
+    first = learning.predict(model, rows, "p")
+    both = learning.predict(learning.load_model(path), first, "q")
+    return both.select("pdb_id", "pocket_id", (F.col("p") == F.col("q")).alias("same"), F.col("p").between(0, 1).alias("in_range"))
