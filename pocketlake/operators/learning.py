@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,17 @@ def classifier(model_type: str = "random_forest", seed: int = 42, weighted: bool
     )
 
 
+def prepared(pipeline: Pipeline, rows: DataFrame) -> tuple[list, DataFrame]:
+    """The fitted stages before the tree, and the columns that the tree reads, kept until ``unpersist``.
+
+    A tree reads its rows several times before it holds them in bins.
+    """
+    *stages, tree = pipeline.getStages()
+    done = [stage.fit(rows) if isinstance(stage, Estimator) else stage for stage in stages]
+    columns = ["features", tree.getLabelCol(), *([tree.getWeightCol()] if tree.isSet("weightCol") else [])]
+    return done, PipelineModel(done).transform(rows).select(columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def param_grid(pipeline: Pipeline, values: Mapping[str, Sequence[Any]] | None = None) -> list[dict]:
     """Grid over the tree stage; the default spans size, depth and leaf size (or step size when boosting)."""
     tree = pipeline.getStages()[-1]
@@ -114,7 +127,8 @@ def fold_leaks(folded: DataFrame, group: str = "pdb_id") -> DataFrame:
 
 def grouped_split(features: DataFrame, test_size: float = 0.2, group: str = "pdb_id", seed: int = 42) -> DataFrame:
     """``is_test`` per row: whole structures, the same share of each structure label, in hash order."""
-    labels = features.groupBy(group).agg(F.max("label").alias("_label"))
+    # The ranges are sampled before they are written, so the structures' labels would be computed twice.
+    labels = freeze(features.groupBy(group).agg(F.max("label").alias("_label")))
     hashed = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col(group)))
     ranked = rank_rows(hashed, [F.asc("_h"), F.asc(group)], "_n", ["_label"])
     sizes = ranked.groupBy("_label").agg(F.max("_n").alias("_size"))
@@ -143,18 +157,32 @@ def fit(
     rows = balanced_weights(features, counts) if balanced else features
     pipeline = classifier(model_type, seed, weighted=balanced)
     points = param_grid(pipeline, grid)
-    if len(points) == 1:
-        model = pipeline.copy(points[0]).fit(rows)
-        return model, {param.name: value for param, value in points[0].items()}
-    folded = freeze(stratified_folds(rows, k, key, seed=seed))
-    evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR", numBins=0)
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=points, evaluator=evaluator,
-        numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed,
-    )
-    fitted = search.fit(folded)
-    best = max(range(len(points)), key=lambda i: fitted.avgMetrics[i])
-    return fitted.bestModel, {param.name: value for param, value in points[best].items()}
+    best, tree = 0, pipeline.getStages()[-1]
+    if len(points) > 1:
+        folded = freeze(stratified_folds(rows, k, key, seed=seed))
+        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR", numBins=0)
+        metrics = [0.0] * len(points)
+        for fold in range(k):
+            # Imputation and assembly are the same for every point, so a fold is prepared once.
+            stages, train = prepared(pipeline, folded.where(F.col("fold") != fold))
+            held = PipelineModel(stages).transform(folded.where(F.col("fold") == fold)).select("features", "label")
+            held = held.persist(StorageLevel.MEMORY_AND_DISK)
+            with ThreadPool(min(parallelism, len(points))) as pool:
+                models = tree.fitMultiple(train, points)
+                for at, metric in pool.imap_unordered(lambda _: _measured(models, held, evaluator), points):
+                    metrics[at] += metric / k
+            train.unpersist()
+            held.unpersist()
+        best = max(range(len(points)), key=lambda i: metrics[i])
+    stages, train = prepared(pipeline, rows)
+    model = PipelineModel([*stages, tree.fit(train, points[best])])
+    train.unpersist()
+    return model, {param.name: value for param, value in points[best].items()}
+
+
+def _measured(models: Iterator, held: DataFrame, evaluator: BinaryClassificationEvaluator) -> tuple[int, float]:
+    at, model = next(models)
+    return at, evaluator.evaluate(model.transform(held))
 
 
 def predict(model: PipelineModel, features: DataFrame, name: str = "probability_cryptic") -> DataFrame:

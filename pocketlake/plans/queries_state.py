@@ -273,7 +273,7 @@ def rule_baseline(spark, sf):
 
 
 def _split(spark, sf):
-    return freeze(learning.grouped_split(domain.features(spark, sf)))
+    return freeze(learning.grouped_split(freeze(domain.features(spark, sf))))
 
 
 def _forest(train, **grid):

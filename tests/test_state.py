@@ -226,3 +226,14 @@ def test_stream_files_grow_in_number(spark, tmp_path, monkeypatch):
     files = landed.collect()
     assert sum(f.n for f in files) == lines.count() and max(f.n for f in files) < 1000
     assert sum(len(f.k) for f in files) == lines.select("l_orderkey").distinct().count()
+
+
+def test_fit_prepares_its_rows_once_per_fold(features, monkeypatch):
+    calls, plain = [], learning.prepared
+    monkeypatch.setattr(learning, "prepared", lambda *a: calls.append(1) or plain(*a))
+    model, _ = learning.fit(features, grid={"numTrees": [3], "maxDepth": [2]})
+    whole = learning.classifier("random_forest", 42, True, numTrees=3, maxDepth=2).fit(learning.balanced_weights(features, {0: 60, 1: 60}))
+    assert sorted(map(str, learning.predict(model, features).collect())) == sorted(map(str, learning.predict(whole, features).collect()))
+    assert len(calls) == 1
+    learning.fit(features, grid={"numTrees": [3, 5], "maxDepth": [2]}, folds=2)
+    assert len(calls) == 1 + 2 + 1
